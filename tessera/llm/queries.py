@@ -9,14 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import read
 
 
+def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.digest import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard
+
+    return shard(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash}
+    return {f.__name__: f for f in (op4_digest, op6_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
