@@ -9,18 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import read
 
 
+def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spans import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.digest import report
 
     return report(read(spark, sf_dir, "documents"))
 
 
+def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.gam import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def bpe_path() -> str:
+    """Where the byte-level BPE file is, on this machine or an executor's."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pieces
+
+    return pieces(read(spark, sf_dir, "documents"), bpe_path())
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard
 
@@ -28,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_digest, op6_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op2_spans, op4_digest, op5_gam, op6_simhash, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
