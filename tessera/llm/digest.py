@@ -117,14 +117,15 @@ def report(docs: DataFrame, text: str = "text") -> DataFrame:
     else:
         then = name.select(F.col("kid").alias("next_kid"), F.col("th").alias("next_th"), F.col("fingerprint").alias("then"))
         facts = facts.join(then, ["next_kid", "next_th"]).withColumn("near_next", (F.col("fingerprint") == F.col("then")).cast("double"))
-    facts = stash(facts.select("kid", "th", "n_chars", "next_kid", "next_th", "fingerprint", "near_next", "group_id", "group_size"), "facts")
+    facts = facts.join(prints.select("kid", "th", "doc_id").distinct(), ["kid", "th"])
+    facts = stash(facts.select("doc_id", "kid", "th", "n_chars", "next_kid", "next_th", "fingerprint", "near_next", "group_id", "group_size"), "facts")
 
-    rows = _keyed(docs, text)
+    rows = _keyed(docs, text).drop("doc_id")  # shuffled once, for both joins below
     # each document is the next one of one other: what that one takes from it, a third at most
-    source = rows.drop("doc_id").withColumnsRenamed({"kid": "next_kid", "th": "next_th"})
-    taken = source.join(facts.where("n_chars >= 3").select("kid", "th", "next_kid", "next_th", "n_chars"), ["next_kid", "next_th"])
-    taken = taken.select("kid", "th", "next_kid", "next_th", F.expr("substring(text, 1, cast(n_chars div 3 as int))").alias("head"))
-    taken = taken.dropDuplicates(["next_kid", "next_th"]).select("kid", "th", "head")  # rows that are repeated
+    before = facts.where("n_chars >= 3").select(F.col("kid").alias("to_kid"), F.col("th").alias("to_th"), F.col("next_kid").alias("kid"), F.col("next_th").alias("th"), "n_chars")
+    taken = rows.join(before, ["kid", "th"]).withColumn("head", F.expr("substring(text, 1, cast(n_chars div 3 as int))"))
+    taken = taken.select("kid", "th", "to_kid", "to_th", "head").dropDuplicates(["kid", "th"])  # rows that are repeated
+    taken = taken.select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), "head")
     whole = rows.join(facts.drop("next_kid", "next_th"), ["kid", "th"]).join(taken, ["kid", "th"], "left")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.coalesce("head", F.lit("")))
     whole = whole.withColumn("edited", edited).withColumn("form", canonical(F.col("edited")))
