@@ -7,8 +7,8 @@ a candidate whose score reaches its kind's calibrated threshold becomes a span u
 a base span or a better candidate.
 
 The trees are fitted on the driver, on a fixed number of invented examples (TRAIN of each kind),
-and scored as CASE expressions. Patterns hold no unbounded repetition of a group, so that very
-long runs can't exhaust a thread's stack, and no run is entered twice.
+and scored as CASE expressions. Groups are repeated possessively or a bounded number of times, so
+that very long runs can't exhaust a thread's stack, and no run is entered twice.
 """
 
 from __future__ import annotations
@@ -27,10 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: Where a run is entered only at its start, or where the last match ended.
 _LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
-#: Labels of a domain; longer chains of labels are cut there (a thousand times DNS's limit is near).
-_LABELS = 1000
 BASE = {
-    "email": _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,%d}" % _LABELS,
+    "email": _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # a whole run of digits with single separators, if it has 12 to 19 digits
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}(?![ -]?[0-9])",
@@ -110,16 +108,19 @@ _CHECKS: dict[str, Callable[[Column], Column]] = {
     "phone": lambda body: F.length(_digits(body)).between(9, 15),
 }
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: What a text has in it wherever it has a match.
+_HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, end>> of the base spans, in order (kind: its place in KINDS)."""
-    found = []
-    for k, kind in enumerate(KINDS):
-        ok = F.filter(_matches(text, BASE[kind]), lambda m, check=_CHECKS[kind]: check(m["body"]))
-        spans = F.transform(ok, lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["body"])).alias("end")))
-        found.append(F.when(text.contains("@") if kind == "email" else text.rlike("[0-9]"), spans).otherwise(F.array().cast(_SPANS)))
-    return F.array_sort(F.concat(*found))
+
+    def of(k: int, kind: str) -> Column:
+        ok = F.filter(_matches(text, BASE[kind]), lambda m: _CHECKS[kind](m["body"]))
+        spans = F.transform(ok, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["body"])).alias("end")))
+        return F.when(text.rlike(_HINTS[kind]), spans).otherwise(F.array().cast(_SPANS))
+
+    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
 
 # --- candidates -------------------------------------------------------------------------------
@@ -289,11 +290,11 @@ _CANDIDATES = "array<struct<score:double,start:bigint,kind:int,end:bigint>>"
 
 def candidates(text: Column, model: Model) -> Column:
     """array<struct<score, start, kind, end>> of those that reach their kind's threshold."""
-    found = []
-    for kind, pattern in GENERATORS:
+
+    def of(kind: str, pattern: str) -> Column:
         k = KINDS.index(kind)
 
-        def judged(m: Column, k: int = k) -> Column:
+        def judged(m: Column) -> Column:
             start, end = m["start"], m["start"] + F.length(m["body"])
             before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
             after = F.substring(text, end.cast("int") + 1, F.lit(1))
@@ -302,9 +303,10 @@ def candidates(text: Column, model: Model) -> Column:
             return F.struct(_let(made, score).alias("score"), start.alias("start"), F.lit(k).alias("kind"), end.alias("end"))
 
         scored = F.transform(_matches(text, pattern), judged)
-        ready = text.contains("at]") | text.contains("at)") if kind == "email" else text.rlike("[0-9]{3}")
-        found.append(F.when(ready, F.filter(scored, lambda c, t=model.thresholds[k]: c["score"] >= t)).otherwise(F.array().cast(_CANDIDATES)))
-    return F.concat(*found)
+        ready = text.contains("at]") | text.contains("at)") if kind == "email" else text.rlike("[0-9]{2}")
+        return F.when(ready, F.filter(scored, lambda c: c["score"] >= model.thresholds[k])).otherwise(F.array().cast(_CANDIDATES))
+
+    return F.concat(*[of(*g) for g in GENERATORS])
 
 
 def all_spans(text: Column, base: Column, model: Model) -> Column:
@@ -334,7 +336,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.col("text")
     both = _let(base_spans(body), lambda base: F.struct(base.alias("base"), all_spans(body, base, model).alias("spans")))
     rows = rows.select("doc_id", both.alias("found")).select("doc_id", F.col("found.base").alias("base"), F.col("found.spans").alias("spans"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+    def count(k: int, kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k, kind) for k, kind in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
