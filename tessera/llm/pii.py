@@ -7,7 +7,7 @@ a candidate whose score reaches its kind's calibrated threshold becomes a span u
 a base span or a better candidate.
 
 The trees are fitted on the driver, on a fixed number of invented examples (TRAIN of each kind),
-and scored as CASE expressions. Groups are repeated possessively or a bounded number of times, so
+and are a constant array that an aggregate expression goes through. Groups are repeated possessively or a bounded number of times, so
 that very long runs can't exhaust a thread's stack, and no run is entered twice.
 """
 
@@ -110,6 +110,8 @@ _CHECKS: dict[str, Callable[[Column], Column]] = {
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 #: What a text has in it wherever it has a match.
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+#: What a text has in it wherever a pattern or a generator has a match: most texts have none.
+ANY = r"@|\+[0-9]|at[\])]|[0-9]\.[0-9]+\.[0-9]|[0-9](?:[ .()-]{0,2}[0-9]){6}"
 
 
 def base_spans(text: Column) -> Column:
@@ -128,23 +130,23 @@ def base_spans(text: Column) -> Column:
 FEATURES = ("kind", "digits", "luhn", "plus", "separators", "before", "after", "first", "distinct", "word", "length")
 
 
-def _features(kind: int, body: Column, before: Column, after: Column) -> dict[str, Column]:
-    """before and after: up to CONTEXT characters on either side."""
+def _features(kind: Column, body: Column, before: Column, after: Column) -> list[Column]:
+    """FEATURES; before and after: up to CONTEXT characters on either side."""
     digits = _digits(body)
     near = F.regexp_replace(before, r"[\s\x{22}'(:=]+\z", "")
-    return {
-        "kind": F.lit(kind),
-        "digits": F.length(digits),
-        "luhn": F.when(F.length(digits) > 0, F.when(_luhn(digits), 1).otherwise(0)).otherwise(0),
-        "plus": F.when(body.startswith("+"), 1).otherwise(0),
-        "separators": F.length(F.regexp_replace(body, "[^ ().-]", "")),
-        "before": F.when(before.rlike(r"[A-Za-z0-9_]\z"), 1).otherwise(0),
-        "after": F.when(after.rlike("^[A-Za-z0-9_]"), 1).otherwise(0),
-        "first": F.when(F.length(digits) > 0, F.substring(digits, 1, 1).cast("int")).otherwise(-1),
-        "distinct": F.size(F.array_distinct(F.split(digits, ""))),
-        "word": F.when(near.rlike(_WORDS), 1).otherwise(0),
-        "length": F.length(body),
-    }
+    return [
+        kind,
+        F.length(digits),
+        F.when(F.length(digits) > 0, F.when(_luhn(digits), 1).otherwise(0)).otherwise(0),
+        F.when(body.startswith("+"), 1).otherwise(0),
+        F.length(F.regexp_replace(body, "[^ ().-]", "")),
+        F.when(before.rlike(r"[A-Za-z0-9_]\z"), 1).otherwise(0),
+        F.when(after.rlike("^[A-Za-z0-9_]"), 1).otherwise(0),
+        F.when(F.length(digits) > 0, F.substring(digits, 1, 1).cast("int")).otherwise(-1),
+        F.size(F.array_distinct(F.split(digits, ""))),
+        F.when(near.rlike(_WORDS), 1).otherwise(0),
+        F.length(body),
+    ]
 
 
 def features(kind: int, body: str, before: str, after: str) -> list[float]:
@@ -219,13 +221,11 @@ class Tree:
         root, low, high = (side(c) for c in self.cuts)
         return np.array(self.leaves)[np.where(root, 2 + high, low)]
 
-    def column(self, f: dict[str, Column]) -> Column:
-        def side(cut: tuple[int, float] | None, left: float, right: float) -> Column:
-            return F.when(f[FEATURES[cut[0]]] > cut[1], F.lit(right)).otherwise(F.lit(left)) if cut else F.lit(left)
-
-        root = self.cuts[0]
-        low, high = side(self.cuts[1], *self.leaves[:2]), side(self.cuts[2], *self.leaves[2:])
-        return F.when(f[FEATURES[root[0]]] > root[1], high).otherwise(low) if root else low
+    def sql(self) -> str:
+        """A struct of the tree; a cut that is missing is never passed."""
+        cuts = [(c[0], f"{c[1]!r}D") if c else (0, "double('inf')") for c in self.cuts]
+        told = zip("abc", "pqr", cuts, strict=True)
+        return f"named_struct({', '.join(f'{x!r}, {j}, {y!r}, {v}' for x, y, (j, v) in told)}, {', '.join(f'{n!r}, {v!r}D' for n, v in zip('wxyz', self.leaves, strict=True))})"
 
 
 @dataclass
@@ -237,6 +237,12 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.bias + sum(t.score(x) for t in self.trees)
 
+    def column(self, f: Column) -> Column:
+        """The score of an array of features: the trees are a constant that the scan goes through."""
+        side = lambda t, j, cut, left, right: F.when(F.get(f, t[j]) > t[cut], right).otherwise(left)
+        tree = lambda t: side(t, "a", "p", side(t, "b", "q", t["w"], t["x"]), side(t, "c", "r", t["y"], t["z"]))
+        return F.aggregate(F.expr(f"array({', '.join(t.sql() for t in self.trees)})"), F.lit(self.bias), lambda a, t: a + tree(t))
+
 
 ROUNDS, RATE = 24, 0.4
 
@@ -285,28 +291,24 @@ def fitted() -> Model:
     return model
 
 
-_CANDIDATES = "array<struct<score:double,start:bigint,kind:int,end:bigint>>"
-
-
 def candidates(text: Column, model: Model) -> Column:
     """array<struct<score, start, kind, end>> of those that reach their kind's threshold."""
 
     def of(kind: str, pattern: str) -> Column:
-        k = KINDS.index(kind)
-
-        def judged(m: Column) -> Column:
-            start, end = m["start"], m["start"] + F.length(m["body"])
-            before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
-            after = F.substring(text, end.cast("int") + 1, F.lit(1))
-            made = F.struct(*[c.cast("int").alias(n) for n, c in _features(k, m["body"], before, after).items()])
-            score = lambda f: sum((t.column({n: f[n] for n in FEATURES}) for t in model.trees), F.lit(model.bias))
-            return F.struct(_let(made, score).alias("score"), start.alias("start"), F.lit(k).alias("kind"), end.alias("end"))
-
-        scored = F.transform(_matches(text, pattern), judged)
         ready = text.contains("at]") | text.contains("at)") if kind == "email" else text.rlike("[0-9]{2}")
-        return F.when(ready, F.filter(scored, lambda c: c["score"] >= model.thresholds[k])).otherwise(F.array().cast(_CANDIDATES))
+        own = F.transform(_matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["body"].alias("body")))
+        return F.when(ready, own).otherwise(F.array().cast("array<struct<start:bigint,kind:int,body:string>>"))
+
+    def judged(m: Column) -> Column:
+        start, end = m["start"], m["start"] + F.length(m["body"])
+        before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
+        after = F.substring(text, end.cast("int") + 1, F.lit(1))
+        made = F.array(*[c.cast("double") for c in _features(m["kind"], m["body"], before, after)])
+        return F.struct(_let(made, model.column).alias("score"), start.alias("start"), m["kind"].alias("kind"), end.alias("end"))
 
-    return F.concat(*[of(*g) for g in GENERATORS])
+    least = F.array(*[F.lit(t) for t in model.thresholds])
+    scored = F.transform(F.concat(*[of(*g) for g in GENERATORS]), judged)
+    return F.filter(scored, lambda c: c["score"] >= F.get(least, c["kind"]))
 
 
 def all_spans(text: Column, base: Column, model: Model) -> Column:
@@ -335,6 +337,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     body = F.col("text")
     both = _let(base_spans(body), lambda base: F.struct(base.alias("base"), all_spans(body, base, model).alias("spans")))
+    none = F.array().cast(_SPANS)
+    both = F.when(body.rlike(ANY), both).otherwise(F.struct(none.alias("base"), none.alias("spans")))
     rows = rows.select("doc_id", both.alias("found")).select("doc_id", F.col("found.base").alias("base"), F.col("found.spans").alias("spans"))
 
     def count(k: int, kind: str) -> Column:
@@ -368,4 +372,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, part), ""), rest)).otherwise(body)
 
     new = _let(base_spans(body), lambda base: _let(merged(all_spans(body, base, model)), replaced))
-    return docs.withColumn(text, F.when(body.isNotNull(), new))
+    return docs.withColumn(text, F.when(body.rlike(ANY), new).otherwise(body))
