@@ -320,3 +320,16 @@ QUERIES: dict[str, tuple[str, dict[str, str], str]] = {
         "SELECT CAST(n_nationkey AS BIGINT) AS n, true AS i, true AS l, true AS u, 'http://www.w3.org/2001/XMLSchema#integer' AS d, 'en' AS g, 'http://x/' || n_name AS r FROM nation",
     ),
 }
+
+
+def _sparql(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    query, types, _ = QUERIES[name]
+    return lambda spark, sf_dir: read_as(query, dataset(spark, sf_dir), types)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _sparql(name) for name in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, _, sql) in QUERIES.items()}

@@ -9,7 +9,7 @@ from tessera.sources.dataset import Lifted, LiftedDataset
 from tessera.terms import DATETIME, DOUBLE, INTEGER, STRING, Kind
 
 NS = "http://ex.org/"
-_KINDS = {"int": INTEGER, "bigint": INTEGER, "double": DOUBLE, "timestamp": DATETIME, "string": STRING}
+_KINDS = {"int": INTEGER, "bigint": INTEGER, "double": DOUBLE, "timestamp": DATETIME, "timestamp_ntz": DATETIME, "string": STRING}
 #: table -> (class, key column, foreign key column -> (object property, table))
 TABLES: dict[str, tuple[str, str | None, dict[str, tuple[str, str]]]] = {
     "region": ("Region", "r_regionkey", {}),
