@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose lattices a worker keeps, and documents handled at once.
-KEPT, ROWS = 300_000, 500
+KEPT, ROWS = 300_000, 1000
 _WORD = re.compile(r"\n| *[^ \n]+| +")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -43,7 +43,7 @@ class Pieces:
 
         sp = SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
-        self.weights: dict[str, tuple[int, float]] = {}
+        weights: dict[str, tuple[int, float]] = {}
         self.bytes_of: list[bytes] = [b""] * self.size
         self.byte_ids = [0] * 256
         for i in range(self.size):
@@ -55,62 +55,119 @@ class Pieces:
                 text = piece.replace("▁", " ")
                 self.bytes_of[i] = text.encode()
                 if " " not in text.lstrip(" ") and "\n" not in text:
-                    self.weights[text] = (i, -power * math.log(2 + max(0.0, -sp.get_score(i))))
-        self.longest = max(map(len, self.weights))
+                    weights[text] = (i, -power * math.log(2 + max(0.0, -sp.get_score(i))))
+        self.longest = max(map(len, weights))
+        self._trie(weights)
         self.reset()
 
+    def _trie(self, weights: dict[str, tuple[int, float]]) -> None:
+        """Edges of a trie of the pieces as sorted numbers, node * characters + character; edge k
+        leads to node k + 1."""
+        chars = sorted(set("".join(weights)))
+        self.char = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.chars = len(chars) + 1
+        places: dict[str, int] = {"": 0}
+        pieces = sorted(weights)
+        edges: list[int] = []
+        of_edge: list[str] = []
+        for n in range(1, self.longest + 1):  # nodes of one depth after another, so that edges come out sorted
+            level = sorted({w[:n] for w in pieces if len(w) >= n}, key=lambda w: (places[w[:-1]], int(self.char[ord(w[-1])])))
+            for w in level:
+                edges.append(places[w[:-1]] * self.chars + int(self.char[ord(w[-1])]))
+                of_edge.append(w)
+                places[w] = len(of_edge)
+        self.edges = np.array(edges, dtype=np.int64)
+        self.edge_piece = np.array([weights[w][0] if w in weights else -1 for w in of_edge], dtype=np.int32)
+        self.edge_weight = np.array([weights[w][1] if w in weights else 0.0 for w in of_edge])
+        self.alone = np.zeros(self.chars, dtype=bool)  # characters that are pieces themselves
+        self.alone[[int(self.char[ord(c)]) for c in chars if c in weights]] = True
+
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.multi: list[list[int]] = []  # arcs of several ids; their codes come after the pieces
-        self.multi_codes: dict[str, int] = {}
-        self.nodes = 0
+        self.multi_codes: dict[int, int] = {}
         self.ends = np.array([], dtype=np.int64)  # last node of each word
-        self.keys = np.array([], dtype=np.float64)  # node + cumulated chance, arc by arc
-        self.back = np.array([], dtype=np.int64)  # the node that the arc comes from, -1: the word's start
+        self.keys = np.array([], dtype=np.int64)  # of each arc: its node, and in 32 bits the chance of it and those before
+        self.back = np.array([], dtype=np.int32)  # the node that the arc comes from, -1: the word's start
         self.codes = np.array([], dtype=np.int32)
+        self.nodes = 0
 
-    def _lattice(self, word: str, keys: list[float], back: list[int], codes: list[int]) -> None:
-        """Nodes of word: one for each character, for what ends there."""
-        get, longest, base = self.weights.get, self.longest, self.nodes - 1
-        alpha = [0.0]
-        for end in range(1, len(word) + 1):
-            arcs = []
-            for start in range(max(0, end - longest), end):
-                found = get(word[start:end])
-                if found and alpha[start] > -math.inf:
-                    arcs.append((start, found[0], alpha[start] + found[1]))
-            if word[end - 1] not in self.weights:
-                char = word[end - 1]
-                code = self.multi_codes.get(char)
-                if code is None:
-                    code = self.multi_codes[char] = self.size + len(self.multi)
-                    self.multi.append([self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")])
-                arcs.append((end - 1, code, alpha[end - 1] - 20.0))
-            top = max(a[2] for a in arcs)
-            total = sum(math.exp(a[2] - top) for a in arcs)
-            alpha.append(top + math.log(total))
-            at = 0.0
-            for start, code, weight in arcs:
-                at += math.exp(weight - top) / total
-                keys.append(base + end + at)
-                back.append(base + start if start else -1)
-                codes.append(code)
-            keys[-1] = base + end + 1.0
-        self.nodes += len(word)
-
-    def learn(self, words: set[str]) -> None:
-        keys: list[float] = []
-        back: list[int] = []
-        codes: list[int] = []
-        ends = []
-        for w in words:
-            self.index[w] = len(self.ends) + len(ends)
-            self._lattice(w, keys, back, codes)
-            ends.append(self.nodes - 1)
-        self.ends = np.concatenate([self.ends, np.array(ends, dtype=np.int64)])
-        self.keys = np.concatenate([self.keys, np.array(keys)])
-        self.back = np.concatenate([self.back, np.array(back, dtype=np.int64)])
-        self.codes = np.concatenate([self.codes, np.array(codes, dtype=np.int32)])
+    def _fallback(self, char: int) -> int:
+        """The code of a character's byte pieces."""
+        if char not in self.multi_codes:
+            self.multi_codes[char] = self.size + len(self.multi)
+            self.multi.append([self.byte_ids[b] for b in chr(char).encode("utf-8", "surrogatepass")])
+        return self.multi_codes[char]
+
+    def _arcs(self, text: np.ndarray, until: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, codes, weights) of the arcs of each length from 1 on; until: where words end."""
+        char = self.char[text]
+        at, node, found = np.arange(len(text)), np.zeros(len(text), dtype=np.int64), []
+        for n in range(self.longest):
+            key = node * self.chars + char[at + n]
+            k = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            ok = self.edges[k] == key
+            at, k = at[ok], k[ok]
+            is_piece = self.edge_piece[k] >= 0
+            starts, codes, weights = at[is_piece], self.edge_piece[k[is_piece]], self.edge_weight[k[is_piece]]
+            if not n:
+                odd = np.flatnonzero(~self.alone[char])
+                kinds, which = np.unique(text[odd], return_inverse=True)
+                own = np.array([self._fallback(int(c)) for c in kinds], dtype=np.int32)
+                starts, codes, weights = np.concatenate([starts, odd]), np.concatenate([codes, own[which]]), np.concatenate([weights, np.full(len(odd), -20.0)])
+            found.append((starts, codes, weights))
+            on = at + n + 1 < until[at]
+            at, node = at[on], (k[on] + 1).astype(np.int64)
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        """Lattices of all words at once. A node stands for what ends at its character; its arcs
+        are in order of their starts, and are summed in that order, whatever words come along."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        end = np.cumsum(size)
+        place = np.arange(len(text)) - np.repeat(end - size, size)
+        found = self._arcs(text, np.repeat(end, size))
+        count = np.zeros(len(text), dtype=np.int64)
+        for n, (starts, _, _) in enumerate(found):
+            count[starts + n] += 1  # a node has one arc of each length at most
+        first = np.cumsum(count) - count
+        start, code, weight = np.empty(count.sum(), np.int64), np.empty(count.sum(), np.int32), np.empty(count.sum())
+        free = first.copy()
+        for n in range(len(found) - 1, -1, -1):
+            starts, codes, weights = found[n]
+            k = free[starts + n]
+            start[k], code[k], weight[k] = starts, codes, weights
+            free[starts + n] += 1
+        before = np.where(place[start] > 0, start - 1, len(text))
+        alpha = np.zeros(len(text) + 1)  # the last stands for the words' starts
+        chance = np.empty(len(start))
+        order = np.argsort(place.astype(np.uint16) if len(text) and place.max() < 1 << 16 else place, kind="stable")
+        cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):  # nodes of one place in all words
+            nodes = order[a:b]
+            n = count[nodes]
+            seg = np.cumsum(n) - n
+            arcs = np.repeat(first[nodes] - seg, n) + np.arange(n.sum())
+            v = weight[arcs] + alpha[before[arcs]]
+            top = np.maximum.reduceat(v, seg)
+            v = np.exp(v - np.repeat(top, n))
+            total = np.add.reduceat(v, seg)
+            alpha[nodes] = top + np.log(total)
+            chance[arcs] = v / np.repeat(total, n)
+        rank = np.arange(len(start)) - np.repeat(first, count)
+        for r in range(1, int(count.max(initial=0))):
+            k = np.flatnonzero(rank == r)
+            chance[k] += chance[k - 1]
+        part = np.minimum((chance * (1 << 32)).astype(np.int64), (1 << 32) - 1)
+        part[first + count - 1] = 1 << 32
+        self.index.update(zip(words, range(len(self.ends), len(self.ends) + len(words)), strict=True))
+        self.ends = np.concatenate([self.ends, self.nodes + end - 1])
+        self.keys = np.concatenate([self.keys, (np.repeat(np.arange(len(text)), count) + self.nodes << 32) + part])
+        self.back = np.concatenate([self.back, np.where(place[start] > 0, start - 1 + self.nodes, -1).astype(np.int32)])
+        self.codes = np.concatenate([self.codes, code])
+        self.nodes += len(text)
 
     def sample(self, texts: list[str], row_keys: list[int], seed: int) -> list[np.ndarray]:
         """One segmentation's ids for each text."""
@@ -120,7 +177,7 @@ class Pieces:
             self.reset()
             new = set().union(*words)
         if new:
-            self.learn(new)
+            self.learn(sorted(new))
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         look = self.index.__getitem__
         which = np.fromiter((look(w) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum()))
@@ -132,11 +189,10 @@ class Pieces:
         count = np.zeros(len(which), dtype=np.int64)
         while len(live):
             state = mixed(state)
-            u = (state >> np.uint64(12)).astype(np.float64) / float(1 << 52)
-            arc = np.searchsorted(self.keys, node + u, side="right")
+            arc = np.searchsorted(self.keys, (node << 32) + (state >> np.uint64(32)).astype(np.int64), side="right")
             steps.append((live, self.codes[arc]))
             count[live] += 1
-            node = self.back[arc]
+            node = self.back[arc].astype(np.int64)
             on = node >= 0
             node, live, state = node[on], live[on], state[on]
         ends = np.cumsum(count)
