@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import as_number, as_text
+from tessera.operators.shapes import ANY, index, match_shapes, query_shapes
 from tessera.operators.solutions import col_of
+from tessera.operators.tables import written
 from tessera.plans.compile import evaluate, solve
+from tessera.plans.harvest import answer, harvest
 from tessera.plans.parser import parse
-from tessera.sources.dataset import Dataset, QuadDataset, UnionDataset
+from tessera.plans.scopes import decompose
+from tessera.sources.dataset import Dataset, QuadDataset
 from tessera.sources.lift import NS, dataset
+from tessera.sources.provenance import nanopublication
+from tessera.sources.remote import DatasetSource
 
 PREFIX = f"PREFIX ex: <{NS}>\nPREFIX xsd: <http://www.w3.org/2001/XMLSchema#>\n"
 
@@ -322,14 +328,153 @@ QUERIES: dict[str, tuple[str, dict[str, str], str]] = {
 }
 
 
+# --- queries over other datasets than the lifted tables -----------------------------------------
+
+
+def ring(spark: SparkSession, sf_dir: str) -> QuadDataset:
+    """nation n leads to nation (7 n + 3) mod 25: a graph with cycles."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("n"))
+    node = lambda c: F.concat(F.lit(f"<{NS}nation/"), c.cast("string"), F.lit(">"))
+    return QuadDataset(n.select(node(F.col("n")).alias("s"), F.lit(f"<{NS}next>").alias("p"), node((F.col("n") * 7 + 3) % 25).alias("o"), F.lit(None).cast("string").alias("g")), unique=True)
+
+
+_STEPS = "WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST((n_nationkey * 7 + 3) % 25 AS BIGINT) AS b FROM nation), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
+RING: dict[str, tuple[str, dict[str, str], str]] = {
+    "path_plus": ("SELECT ?a ?b { ?a ex:next+ ?b }", {"a": "key", "b": "key"}, f"{_STEPS} SELECT a, b FROM r"),
+    "path_star": ("SELECT ?a ?b { ?a ex:next* ?b }", {"a": "key", "b": "key"}, f"{_STEPS} SELECT a, b FROM r UNION SELECT a, a FROM e UNION SELECT b, b FROM e"),
+    "path_opt": ("SELECT ?a ?b { ?a ex:next? ?b }", {"a": "key", "b": "key"}, f"{_STEPS} SELECT a, b FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e"),
+    "path_star_constant": ("SELECT ?b { <http://ex.org/nation/4> ex:next* ?b }", {"b": "key"}, f"{_STEPS} SELECT b FROM r WHERE a = 4 UNION SELECT 4"),
+}
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> list[DatasetSource]:
+    """The customers' side and the orders' side as two repositories."""
+    sides = (["region", "nation", "customer"], ["orders", "supplier", "part"])
+    return [DatasetSource(dataset(spark, sf_dir, t), f"http://ex.org/source/{k}") for k, t in enumerate(sides, 1)]
+
+
+def graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRAPH with a variable: a graph per region."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    text = lambda start, c: F.concat(F.lit(f"<{NS}{start}/"), c.cast("string"), F.lit(">"))
+    q = n.select(text("nation", F.col("n_nationkey")).alias("s"), F.lit(f"<{NS}n_name>").alias("p"), F.concat(F.lit('"'), "n_name", F.lit('"')).alias("o"), text("region", F.col("n_regionkey")).alias("g"))
+    found = evaluate(PREFIX + "SELECT ?g (COUNT(?s) AS ?n) { GRAPH ?g { ?s ex:n_name ?o } } GROUP BY ?g", QuadDataset(q))
+    return found.select(F.regexp_extract("g", r"(\d+)>$", 1).cast("long").alias("g"), F.regexp_extract("n", r'"(\d+)"', 1).cast("long").alias("n"))
+
+
+def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate(PREFIX + "ASK { ?o ex:o_totalprice ?t ; ex:o_orderstatus \"F\" FILTER(?t > 100000) }", dataset(spark, sf_dir))
+
+
+def construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate(PREFIX + "CONSTRUCT { ?r ex:holds ?n . ?n ex:label ?name } { ?n ex:inRegion ?r ; ex:n_name ?name }", dataset(spark, sf_dir))
+
+
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate(PREFIX + "DESCRIBE <http://ex.org/region/2>", dataset(spark, sf_dir, ["region", "nation"]))
+
+
+def harvest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a query's patterns at a repository of quads: one job for all of them."""
+    source = DatasetSource(QuadDataset(dataset(spark, sf_dir, ["nation", "region", "supplier"]).quads(), unique=True), "x")
+    patterns = decompose(PREFIX + 'SELECT * { ?s ex:inNation ?n ; ex:s_name ?a . ?n ex:inRegion ?r . ?r ex:r_name "ASIA" . ?x ?p ?y }')
+    return spark.createDataFrame(list(enumerate(source.counts(patterns))), "pattern long, n long")
+
+
+HARVESTED = "SELECT ?c ?n { ?n ex:inRegion <http://ex.org/region/2> . ?c ex:inNation ?n ; ex:c_acctbal ?b }"
+
+
+def harvest_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many triples of each predicate are left when patterns narrow one another."""
+    found = harvest(spark, PREFIX + HARVESTED, [DatasetSource(dataset(spark, sf_dir, ["region", "nation", "customer"]), "http://ex.org/source/1")])
+    return found[0].triples.groupBy(F.regexp_extract("p", r"([A-Za-z_]+)>$", 1).alias("p")).agg(F.count("*").alias("n"))
+
+
+def federated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join across two repositories, harvested one by one."""
+    df, _ = answer(spark, PREFIX + 'SELECT ?o ?r { ?n ex:inRegion ?r . ?c ex:inNation ?n . ?o ex:placedBy ?c ; ex:o_orderstatus "P" }', _halves(spark, sf_dir))
+    return df.select(*[F.regexp_extract(c, r"(\d+)>$", 1).cast("long").alias(c) for c in ("o", "r")])
+
+
+def index_apb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shapes of two repositories."""
+    parts = [index(s.data.quads(), s.identity) for s in _halves(spark, sf_dir)]
+    return parts[0].union(parts[1]).select("source", F.regexp_replace("a", NS, "").alias("a"), F.regexp_replace("p", NS, "").alias("p"), F.regexp_replace("b", NS, "").alias("b"))
+
+
+def select_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which repositories answer to which of three queries, by which rules."""
+    shapes = index_apb(spark, sf_dir).select("source", "a", "p", F.when(F.col("b") == "", ANY).otherwise(F.col("b")).alias("b"))
+    shapes = written(shapes, "shapes")  # few rows, which seven rules read
+    shapes = shapes.select("source", *[F.when(F.col(c) == ANY, ANY).otherwise(F.concat(F.lit(NS), c)).alias(c) for c in "apb"])
+    asked = {
+        1: "SELECT * { ?c a ex:Customer ; ex:inNation ?n . ?n a ex:Nation }",
+        2: "SELECT * { ?o ex:placedBy ?c }",
+        3: "SELECT * { ?o a ex:Order ; ?p ?c }",
+    }
+    out = None
+    for k, q in asked.items():
+        rows = spark.createDataFrame(sorted(query_shapes(PREFIX + q)), "a string, p string, b string")
+        part = match_shapes(rows, shapes, shapes.select("source", "p").distinct()).select(F.lit(k).cast("long").alias("query"), "source", F.col("rule").cast("long").alias("rule"))
+        out = part if out is None else out.union(part)
+    return out  # type: ignore[return-value]
+
+
+def provenance_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four graphs of a harvest's nanopublication, by size; times are in it, so no SQL."""
+    found = harvest(spark, PREFIX + HARVESTED, [DatasetSource(dataset(spark, sf_dir, ["region", "nation", "customer"]), "http://ex.org/source/1")])
+    return nanopublication(found[0], "catalogue", 1).groupBy("g").agg(F.count("*").alias("n"))
+
+
+_LITERALS = {"region": ("Region", "r_regionkey r_name"), "nation": ("Nation", "n_nationkey n_name n_regionkey"), "customer": ("Customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"), "orders": ("Order", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"), "supplier": ("Supplier", "s_suppkey s_name s_nationkey s_acctbal"), "part": ("Part", "p_partkey p_name p_brand p_type p_size p_retailprice")}
+_LINKS = (("nation", "inRegion", "Region"), ("customer", "inNation", "Nation"), ("orders", "placedBy", ""), ("supplier", "inNation", ""))
+
+
+def _apb_sql() -> str:
+    side = lambda t: f"http://ex.org/source/{1 if t in ('region', 'nation', 'customer') else 2}"
+    rows = [(side(t), a, c, "") for t, (a, cols) in _LITERALS.items() for c in cols.split()]
+    rows += [(side(t), _LITERALS[t][0], p, b) for t, p, b in _LINKS]
+    return "SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + ") v(source, a, p, b)"
+
+
+EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "graph_scan": (graph_scan, "SELECT CAST(n_regionkey AS BIGINT) AS g, count(*) AS n FROM nation GROUP BY 1"),
+    "ask": (ask, "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F') AS \"boolean\""),
+    "construct": (
+        construct,
+        "SELECT '<http://ex.org/region/' || n_regionkey || '>' AS subject, '<http://ex.org/holds>' AS predicate, '<http://ex.org/nation/' || n_nationkey || '>' AS object FROM nation UNION SELECT '<http://ex.org/nation/' || n_nationkey || '>', '<http://ex.org/label>', '\"' || n_name || '\"' FROM nation",
+    ),
+    "describe": (
+        describe,
+        "SELECT '<http://ex.org/region/2>' AS subject, unnest(['<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', '<http://ex.org/r_regionkey>', '<http://ex.org/r_name>']) AS predicate, unnest(['<http://ex.org/Region>', '\"2\"^^<http://www.w3.org/2001/XMLSchema#integer>', '\"' || r_name || '\"']) AS object FROM region WHERE r_regionkey = 2",
+    ),
+    "harvest_counts": (
+        harvest_counts,
+        "SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS pattern, unnest([(SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier), (SELECT count(*) FROM nation), (SELECT count(*) FROM region WHERE r_name = 'ASIA'), (SELECT 6 * count(*) FROM supplier) + (SELECT 5 * count(*) FROM nation) + (SELECT 3 * count(*) FROM region)])::BIGINT AS n",
+    ),
+    "harvest_restricted": (
+        harvest_restricted,
+        "WITH n AS (SELECT * FROM nation WHERE n_regionkey = 2), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)) SELECT 'inRegion' AS p, count(*) AS n FROM n UNION ALL SELECT 'inNation', count(*) FROM c UNION ALL SELECT 'c_acctbal', count(*) FROM c",
+    ),
+    "federated_join": (
+        federated_join,
+        "SELECT o_orderkey AS o, CAST(n_regionkey AS BIGINT) AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'",
+    ),
+    "index_apb": (index_apb, _apb_sql()),
+    "select_sources": (select_sources, "SELECT * FROM (VALUES (1::BIGINT, 'http://ex.org/source/1', 1::BIGINT), (2, 'http://ex.org/source/2', 4), (3, 'http://ex.org/source/2', 6)) v(query, source, rule)"),
+    "provenance_patterns": (provenance_patterns, None),
+}
+
+
 def _sparql(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    query, types, _ = QUERIES[name]
-    return lambda spark, sf_dir: read_as(query, dataset(spark, sf_dir), types)
+    over, data = (QUERIES, dataset) if name in QUERIES else (RING, ring)
+    query, types, _ = over[name]
+    return lambda spark, sf_dir: read_as(query, data(spark, sf_dir), types)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sparql(name) for name in QUERIES}
+    return {name: _sparql(name) for name in (*QUERIES, *RING)} | {name: f for name, (f, _) in EXTRA.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in QUERIES.items()}
+    return {name: sql for name, (_, _, sql) in (QUERIES | RING).items()} | {name: sql for name, (_, sql) in EXTRA.items() if sql}
