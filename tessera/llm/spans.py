@@ -3,7 +3,8 @@
 A text is cut into sentences: after a line break, after closing punctuation and a space, and
 before a capital letter after a space (a passage may have been put into the middle of another
 sentence). Every sentence begins a span, and ends one: the shortest run of at least MIN_SENTENCES
-sentences and MIN_WORDS words from it on, and up to it. Spans are hashed and joined over all
+sentences and MIN_WORDS words from it on, and up to it. A sentence of LONG words is a span by
+itself, as what repeats may be a single sentence. Spans are hashed and joined over all
 documents; a sentence that a non-first occurrence of a repeated span covers is removed. The first
 occurrence is the one in the document with the smallest id, and there the first.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
+MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 40
 _CUT = re.compile(r"\n\s*|(?<=[.!?…。！？])\s+|\s+(?=[A-ZÀ-ÖØ-Þ¿¡])")
 
 
@@ -39,7 +40,7 @@ def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
 
 
 def runs(words: list[int], sentences_least: int, words_least: int) -> list[tuple[int, int]]:
-    """The shortest runs [i, j) from each sentence on, and up to each sentence."""
+    """The shortest runs [i, j) from each sentence on, and up to each sentence; long ones alone."""
     n, total = len(words), np.concatenate([[0], np.cumsum(words)]) if words else np.zeros(1)
     first, last = np.arange(n), np.arange(1, n + 1)
     to = np.maximum(np.searchsorted(total, total[:n] + words_least, side="left"), first + sentences_least)
@@ -47,6 +48,7 @@ def runs(words: list[int], sentences_least: int, words_least: int) -> list[tuple
     pairs = set(zip(first[to <= n].tolist(), to[to <= n].tolist(), strict=True))
     ok = since >= 0
     pairs.update(zip(since[ok].tolist(), last[ok].tolist(), strict=True))
+    pairs.update((i, i + 1) for i, w in enumerate(words) if w >= LONG)
     return sorted(pairs)
 
 
