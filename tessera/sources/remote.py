@@ -351,7 +351,7 @@ class FragmentsSource(_Service):
                     yield None, None, None, not page.ok, page.dropped
                 yield from ((*t, False, 0) for t in _matching(page.triples, one))
                 short = page.per_page and len(page.triples) + page.dropped < page.per_page
-                url = page.next_url if page.ok and page.triples and not short else None
+                url = page.next_url if page.ok and (page.triples or page.dropped) and not short else None
 
 
 def open_source(spark: SparkSession, spec: object, config: Config | None = None) -> Source:

@@ -95,3 +95,15 @@ def test_unreachable_is_declared(spark):
         _, found = answer(spark, P + QUERIES["chain"], [kind(spark, "http://127.0.0.1:9/", Config.of(retries=0, timeout=2.0))])
         assert found[0].stats.decisions() == ["unreachable"] * 2 and found[0].stats.declared_incomplete
         assert found[0].stats.patterns[0].estimate == UNREACHABLE
+
+
+def test_page_of_dropped_statements_doesnt_end_the_walk(monkeypatch):
+    from tessera.plans.algebra import Var
+    from tessera.plans.scopes import Pattern
+    from tessera.sources import remote
+
+    t = ("<urn:s>", "<urn:p>", "<urn:o>")
+    pages = {"http://f/": remote.Page([], 3, 2, "http://f/?page=2", True, 2), "http://f/?page=2": remote.Page([t], 3, 2, None, True, 0)}
+    monkeypatch.setattr(remote, "read_page", lambda url, config: pages[url])
+    got = list(FragmentsSource(None, "http://f/", Config()).answer(Pattern(Var("s"), Var("p"), Var("o")), [{}]))
+    assert got == [(None, None, None, False, 2), (*t, False, 0)]
