@@ -14,14 +14,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose lattices a worker keeps, and documents handled at once.
-KEPT, ROWS = 300_000, 1000
+#: Characters of words whose lattices a worker keeps before it starts anew; documents and characters
+#: handled at once (a longer text is handled by itself). They change nothing in the result.
+KEPT, ROWS, CHARS = 3_000_000, 1000, 4_000_000
 _WORD = re.compile(r"\n| *[^ \n]+| +")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -35,6 +38,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: An arc's node takes it for draws up to `last` beyond those of its arcs before; back: the node that
+#: it comes from (-1: the word's start).
+_ARC = np.dtype([("last", np.uint32), ("back", np.int32), ("code", np.int32)])
+
+
+class _Growing:
+    """An array that grows at its end; its room doubles, so adding is cheap."""
+
+    def __init__(self, kind: object):
+        self.held, self.size = np.empty(1024, dtype=kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, new: np.ndarray) -> None:
+        if self.size + len(new) > len(self.held):
+            room = np.empty(max(2 * len(self.held), self.size + len(new)), dtype=self.held.dtype)
+            room[: self.size] = self.held[: self.size]
+            self.held = room
+        self.held[self.size : self.size + len(new)] = new
+        self.size += len(new)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
+def _ranks(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... size - 1 for each size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
 class Pieces:
     """A vocabulary and the lattices of the words met so far."""
 
@@ -56,6 +91,9 @@ class Pieces:
                 self.bytes_of[i] = text.encode()
                 if " " not in text.lstrip(" ") and "\n" not in text:
                     weights[text] = (i, -power * math.log(2 + max(0.0, -sp.get_score(i))))
+        self.byte_sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_table = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.longest = max(map(len, weights))
         self._trie(weights)
         self.reset()
@@ -87,11 +125,9 @@ class Pieces:
         self.index: dict[str, int] = {}
         self.multi: list[list[int]] = []  # arcs of several ids; their codes come after the pieces
         self.multi_codes: dict[int, int] = {}
-        self.ends = np.array([], dtype=np.int64)  # last node of each word
-        self.keys = np.array([], dtype=np.int64)  # of each arc: its node, and in 32 bits the chance of it and those before
-        self.back = np.array([], dtype=np.int32)  # the node that the arc comes from, -1: the word's start
-        self.codes = np.array([], dtype=np.int32)
-        self.nodes = 0
+        self.ends = _Growing(np.int64)  # last node of each word
+        self.first = _Growing(np.int64)  # first arc of each node
+        self.arcs = _Growing(_ARC)
 
     def _fallback(self, char: int) -> int:
         """The code of a character's byte pieces."""
@@ -160,76 +196,123 @@ class Pieces:
         for r in range(1, int(count.max(initial=0))):
             k = np.flatnonzero(rank == r)
             chance[k] += chance[k - 1]
-        part = np.minimum((chance * (1 << 32)).astype(np.int64), (1 << 32) - 1)
-        part[first + count - 1] = 1 << 32
+        arcs = np.empty(len(start), dtype=_ARC)
+        arcs["last"] = np.maximum(np.minimum(chance * (1 << 32), (1 << 32) - 1).astype(np.int64), 1) - 1
+        arcs["last"][first + count - 1] = (1 << 32) - 1
+        nodes = len(self.first)
+        arcs["back"] = np.where(place[start] > 0, start - 1 + nodes, -1)
+        arcs["code"] = code
         self.index.update(zip(words, range(len(self.ends), len(self.ends) + len(words)), strict=True))
-        self.ends = np.concatenate([self.ends, self.nodes + end - 1])
-        self.keys = np.concatenate([self.keys, (np.repeat(np.arange(len(text)), count) + self.nodes << 32) + part])
-        self.back = np.concatenate([self.back, np.where(place[start] > 0, start - 1 + self.nodes, -1).astype(np.int32)])
-        self.codes = np.concatenate([self.codes, code])
-        self.nodes += len(text)
-
-    def sample(self, texts: list[str], row_keys: list[int], seed: int) -> list[np.ndarray]:
-        """One segmentation's ids for each text."""
+        self.ends.add(nodes + end - 1)
+        self.first.add(first + len(self.arcs))
+        self.arcs.add(arcs)
+
+    def sample(self, texts: list[str], row_keys: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """One segmentation of each text: all ids, one text after another, and where each begins
+        (and the last ends)."""
         words = [_WORD.findall(" " + t) if t else [] for t in texts]
         new = set().union(*words) - self.index.keys()
-        if len(self.index) + len(new) > KEPT and self.index:
+        if new and len(self.first) > KEPT:
             self.reset()
             new = set().union(*words)
         if new:
             self.learn(sorted(new))
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        look = self.index.__getitem__
-        which = np.fromiter((look(w) for ws in words for w in ws), dtype=np.int64, count=int(sizes.sum()))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
         first = np.concatenate([[0], np.cumsum(sizes)])
         place = np.arange(len(which)) - np.repeat(first[:-1], sizes)
         doc = mixed(np.array([k & ((1 << 64) - 1) for k in row_keys], dtype=np.uint64) ^ np.uint64(seed & ((1 << 64) - 1)))
         state = mixed(np.repeat(doc, sizes) ^ place.astype(np.uint64))
-        node, live, steps = self.ends[which], np.arange(len(which)), []
+        node, live, steps = self.ends.all()[which], np.arange(len(which)), []
         count = np.zeros(len(which), dtype=np.int64)
+        first_arc, arcs = self.first.all(), self.arcs.all()
         while len(live):
             state = mixed(state)
-            arc = np.searchsorted(self.keys, (node << 32) + (state >> np.uint64(32)).astype(np.int64), side="right")
-            steps.append((live, self.codes[arc]))
+            draw = (state >> np.uint64(32)).astype(np.uint32)
+            arc = first_arc[node]
+            chosen = arcs[arc]
+            over = np.flatnonzero(draw > chosen["last"])
+            while len(over):  # the draw is beyond the arc: on to the node's next one
+                arc[over] += 1
+                then = arcs[arc[over]]
+                chosen[over] = then
+                over = over[draw[over] > then["last"]]
+            steps.append((live, chosen["code"].copy()))
             count[live] += 1
-            node = self.back[arc].astype(np.int64)
+            node = chosen["back"].astype(np.int64)
             on = node >= 0
             node, live, state = node[on], live[on], state[on]
         ends = np.cumsum(count)
         out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
         for k, (at, codes) in enumerate(steps):
             out[ends[at] - 1 - k] = codes
-        cuts = np.concatenate([[0], ends])[first]
-        return [self._plain(out[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return self._plain(out, np.concatenate([[0], ends])[first])
+
+    def _plain(self, codes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """codes with those of several ids replaced by these, and the cuts there."""
+        odd = np.flatnonzero(codes >= self.size)
+        if not len(odd):
+            return codes, cuts
+        several = [self.multi[c - self.size] for c in codes[odd].tolist()]
+        size = np.ones(len(codes), dtype=np.int64)
+        size[odd] = [len(m) for m in several]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(codes, size)
+        at = ends[odd]
+        out[np.repeat(at, size[odd]) + _ranks(size[odd])] = list(chain.from_iterable(several))
+        return out, ends[cuts]
 
-    def _plain(self, codes: np.ndarray) -> np.ndarray:
-        if not len(codes) or codes.max() < self.size:
-            return codes
-        return np.array([i for c in codes.tolist() for i in (self.multi[c - self.size] if c >= self.size else (c,))], dtype=np.int32)
+    def lossless(self, ids: np.ndarray, cuts: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether each text's ids decode to it."""
+        n = self.byte_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        back = self.byte_table[np.repeat(self.byte_starts[ids], n) + _ranks(n)]
+        want = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        at = ends[cuts]
+        whole = np.frombuffer(b"".join(want), dtype=np.uint8)
+        if np.array_equal(at, np.cumsum([0, *map(len, want)])) and np.array_equal(whole, back):
+            return [True] * len(texts)
+        return [back[a:b].tobytes() == w for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), want, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of any sequence of ids that sample() gives, without the space it puts in front."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str, power: float) -> Pieces:
+    """A worker's vocabulary, with the lattices that its tasks have met: ids don't depend on them."""
+    return Pieces(path, power)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", seed: int = 8, power: float = 1.0) -> DataFrame:
     """(doc_id, n_pieces, ids, lossless) for every row of docs; lossless: the ids decode to the text.
 
     Null and empty texts have no ids. Repeated rows get equal results, as the row's id seeds them
-    (null ids share a seed); an empty table gives no rows; other columns are not looked at."""
+    (null ids share a seed); an empty table gives no rows; other columns are not looked at. A text
+    without spaces or line breaks has one lattice, whose memory grows with its length; it isn't
+    kept for longer than the batch."""
+
+    def parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+        """Runs of at most ROWS rows, and of CHARS characters unless a row alone has more."""
+        first = held = 0
+        for i, n in enumerate(sizes):
+            if i > first and (i - first >= ROWS or held + n > CHARS):
+                yield first, i
+                first, held = i, 0
+            held += n
+        if first < len(sizes):
+            yield first, len(sizes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Pieces(path, power)
+        vocabulary = vocabulary_of(path, power)
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                b = whole.slice(a, ROWS)
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                ids = vocabulary.sample(texts, [k or 0 for k in b.column(0).to_pylist()], seed)
-                same = [vocabulary.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
-                n = np.array([len(i) for i in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], dtype=np.int32), *ids]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists, pa.array(same)], names=["doc_id", "n_pieces", "ids", "lossless"])
+            keys, bodies = whole.column(0).to_pylist(), [t or "" for t in whole.column(1).to_pylist()]
+            for a, b in parts([len(t) for t in bodies]):
+                ids, cuts = vocabulary.sample(bodies[a:b], [k or 0 for k in keys[a:b]], seed)
+                same = vocabulary.lossless(ids, cuts, bodies[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a), pa.array(np.diff(cuts)), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "lossless"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
@@ -239,7 +322,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give a null text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Pieces(path)
+        vocabulary = vocabulary_of(path, 1.0)
         for b in batches:
             texts = [None if i is None else vocabulary.decode(i) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
