@@ -17,9 +17,9 @@ from tessera.operators.tables import written
 from tessera.plans.compile import evaluate, solve
 from tessera.plans.harvest import answer, harvest
 from tessera.plans.parser import parse
-from tessera.plans.scopes import decompose
+from tessera.plans.demand import decompose
 from tessera.sources.dataset import Dataset, QuadDataset
-from tessera.sources.lift import NS, dataset
+from tessera.sources.lift import NS, TABLES, dataset
 from tessera.sources.provenance import nanopublication
 from tessera.sources.remote import DatasetSource
 
@@ -347,10 +347,12 @@ RING: dict[str, tuple[str, dict[str, str], str]] = {
 }
 
 
+#: Two repositories: those who buy and what is sold, and what is ordered.
+SIDES = (["region", "nation", "customer", "part", "events"], ["orders", "lineitem", "supplier"])
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> list[DatasetSource]:
-    """The customers' side and the orders' side as two repositories."""
-    sides = (["region", "nation", "customer"], ["orders", "supplier", "part"])
-    return [DatasetSource(dataset(spark, sf_dir, t), f"http://ex.org/source/{k}") for k, t in enumerate(sides, 1)]
+    return [DatasetSource(dataset(spark, sf_dir, t), f"http://ex.org/source/{k}") for k, t in enumerate(SIDES, 1)]
 
 
 def graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,13 +394,20 @@ def harvest_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def federated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join across two repositories, harvested one by one."""
-    df, _ = answer(spark, PREFIX + 'SELECT ?o ?r { ?n ex:inRegion ?r . ?c ex:inNation ?n . ?o ex:placedBy ?c ; ex:o_orderstatus "P" }', _halves(spark, sf_dir))
-    return df.select(*[F.regexp_extract(c, r"(\d+)>$", 1).cast("long").alias(c) for c in ("o", "r")])
+    df, _ = answer(spark, PREFIX + 'SELECT ?o ?r ?q { ?n ex:inRegion ?r . ?c ex:inNation ?n . ?o ex:placedBy ?c ; ex:o_orderstatus "P" . ?l ex:ofOrder ?o ; ex:l_quantity ?q }', _halves(spark, sf_dir))
+    return df.select(*[F.regexp_extract(c, r"(\d+)>$", 1).cast("long").alias(c) for c in ("o", "r")], F.regexp_extract("q", '^"([^"]*)"', 1).cast("double").alias("q"))
+
+
+def path_restricts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a path allows is all that is fetched: how many triples of each predicate."""
+    q = "SELECT ?c ?b { ?c (ex:inNation|ex:inRegion)+ <http://ex.org/region/3> ; ex:c_acctbal ?b }"
+    found = harvest(spark, PREFIX + q, [DatasetSource(dataset(spark, sf_dir, ["region", "nation", "customer"]), "http://ex.org/source/1")])
+    return found[0].triples.groupBy(F.regexp_extract("p", r"([A-Za-z_]+)>$", 1).alias("p")).agg(F.count("*").alias("n"))
 
 
 def index_apb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shapes of two repositories."""
-    parts = [index(s.data.quads(), s.identity) for s in _halves(spark, sf_dir)]
+    parts = [index(s.data, s.identity) for s in _halves(spark, sf_dir)]
     return parts[0].union(parts[1]).select("source", F.regexp_replace("a", NS, "").alias("a"), F.regexp_replace("p", NS, "").alias("p"), F.regexp_replace("b", NS, "").alias("b"))
 
 
@@ -407,34 +416,65 @@ def select_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = index_apb(spark, sf_dir).select("source", "a", "p", F.when(F.col("b") == "", ANY).otherwise(F.col("b")).alias("b"))
     shapes = written(shapes, "shapes")  # few rows, which seven rules read
     shapes = shapes.select("source", *[F.when(F.col(c) == ANY, ANY).otherwise(F.concat(F.lit(NS), c)).alias(c) for c in "apb"])
-    asked = {
-        1: "SELECT * { ?c a ex:Customer ; ex:inNation ?n . ?n a ex:Nation }",
-        2: "SELECT * { ?o ex:placedBy ?c }",
-        3: "SELECT * { ?o a ex:Order ; ?p ?c }",
-    }
     out = None
-    for k, q in asked.items():
+    for k, q in ASKED.items():
         rows = spark.createDataFrame(sorted(query_shapes(PREFIX + q)), "a string, p string, b string")
         part = match_shapes(rows, shapes, shapes.select("source", "p").distinct()).select(F.lit(k).cast("long").alias("query"), "source", F.col("rule").cast("long").alias("rule"))
         out = part if out is None else out.union(part)
     return out  # type: ignore[return-value]
 
 
+#: A query for each rule, and one that no source answers to.
+ASKED = {
+    1: "SELECT * { ?c a ex:Customer ; ex:inNation ?n . ?n a ex:Nation }",
+    2: "SELECT * { ?o a ex:Order ; ex:placedBy ?c . ?c a ex:Customer }",
+    3: "SELECT * { ?l a ex:LineItem ; ex:ofOrder ?o }",
+    4: "SELECT * { ?o ex:placedBy ?c }",
+    5: "SELECT * { ?l a ex:LineItem ; ?p ?o . ?o a ex:Order }",
+    6: "SELECT * { ?o a ex:Event ; ?p ?c }",
+    7: "SELECT * { ?s ?p ?o . ?o a ex:Supplier }",
+    8: "SELECT * { ?r a ex:Region ; ex:placedBy ?c }",
+}
+
+
 def provenance_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four graphs of a harvest's nanopublication, by size; times are in it, so no SQL."""
     found = harvest(spark, PREFIX + HARVESTED, [DatasetSource(dataset(spark, sf_dir, ["region", "nation", "customer"]), "http://ex.org/source/1")])
     return nanopublication(found[0], "catalogue", 1).groupBy("g").agg(F.count("*").alias("n"))
 
 
-_LITERALS = {"region": ("Region", "r_regionkey r_name"), "nation": ("Nation", "n_nationkey n_name n_regionkey"), "customer": ("Customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"), "orders": ("Order", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"), "supplier": ("Supplier", "s_suppkey s_name s_nationkey s_acctbal"), "part": ("Part", "p_partkey p_name p_brand p_type p_size p_retailprice")}
-_LINKS = (("nation", "inRegion", "Region"), ("customer", "inNation", "Nation"), ("orders", "placedBy", ""), ("supplier", "inNation", ""))
+_CLASS = {t: TABLES[t][0] for t in TABLES}
+_COLUMNS = {"region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props"}
 
 
 def _apb_sql() -> str:
-    side = lambda t: f"http://ex.org/source/{1 if t in ('region', 'nation', 'customer') else 2}"
-    rows = [(side(t), a, c, "") for t, (a, cols) in _LITERALS.items() for c in cols.split()]
-    rows += [(side(t), _LITERALS[t][0], p, b) for t, p, b in _LINKS]
-    return "SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + ") v(source, a, p, b)"
+    """Shapes by looking at the tables: a column's, if any cell is filled; a link's, by a join with
+    the rows that the same repository has."""
+    parts = []
+    for k, tables in enumerate(SIDES, 1):
+        said = f"'http://ex.org/source/{k}' AS source"
+        for t in tables:
+            parts += [f"SELECT DISTINCT {said}, '{_CLASS[t]}' AS a, '{c}' AS p, '' AS b FROM {t} WHERE {c} IS NOT NULL" for c in _COLUMNS[t].split()]
+            for column, (p, to) in TABLES[t][2].items():
+                far = f"CASE WHEN {column} IN (SELECT {TABLES[to][1]} FROM {to}) THEN '{_CLASS[to]}' ELSE '' END" if to in tables else "''"
+                parts.append(f"SELECT DISTINCT {said}, '{_CLASS[t]}', '{p}', {far} FROM {t} WHERE {column} IS NOT NULL")
+    return " UNION ".join(parts)
+
+
+def _rules_sql() -> str:
+    """The seven rules over that relation and the queries' shapes."""
+    asked = [(k, *("ANY" if x == ANY else x.removeprefix(NS) for x in shape)) for k, q in ASKED.items() for shape in sorted(query_shapes(PREFIX + q))]
+    rules = {
+        1: "q.a <> 'ANY' AND q.p <> 'ANY' AND q.b <> 'ANY' AND h.a = q.a AND h.p = q.p AND h.b = q.b",
+        2: "q.a <> 'ANY' AND q.p <> 'ANY' AND h.b = 'ANY' AND h.a = q.a AND h.p = q.p",
+        3: "q.a <> 'ANY' AND q.p <> 'ANY' AND q.b = 'ANY' AND h.b <> 'ANY' AND h.a = q.a AND h.p = q.p",
+        4: "q.a = 'ANY' AND q.p <> 'ANY' AND h.p = q.p",
+        5: "q.a <> 'ANY' AND q.p = 'ANY' AND q.b <> 'ANY' AND h.a = q.a AND h.b IN (q.b, 'ANY')",
+        6: "q.a <> 'ANY' AND q.p = 'ANY' AND q.b = 'ANY' AND h.a = q.a",
+        7: "q.a = 'ANY' AND q.p = 'ANY' AND q.b <> 'ANY' AND h.b = q.b",
+    }
+    head = f"WITH h AS (SELECT source, a, p, CASE WHEN b = '' THEN 'ANY' ELSE b END AS b FROM ({_apb_sql()})), q AS (SELECT * FROM (VALUES {', '.join(map(str, asked))}) v(query, a, p, b))"
+    return head + " " + " UNION ".join(f"SELECT CAST(query AS BIGINT) AS query, source, CAST({k} AS BIGINT) AS rule FROM q JOIN h ON {on}" for k, on in rules.items())
 
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -458,10 +498,14 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
     "federated_join": (
         federated_join,
-        "SELECT o_orderkey AS o, CAST(n_regionkey AS BIGINT) AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'",
+        "SELECT o_orderkey AS o, CAST(n_regionkey AS BIGINT) AS r, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'",
+    ),
+    "path_restricts": (
+        path_restricts,
+        "WITH c AS (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3) SELECT 'inNation' AS p, count(*) AS n FROM customer UNION ALL SELECT 'inRegion', count(*) FROM nation UNION ALL SELECT 'c_acctbal', count(*) FROM c",
     ),
     "index_apb": (index_apb, _apb_sql()),
-    "select_sources": (select_sources, "SELECT * FROM (VALUES (1::BIGINT, 'http://ex.org/source/1', 1::BIGINT), (2, 'http://ex.org/source/2', 4), (3, 'http://ex.org/source/2', 6)) v(query, source, rule)"),
+    "select_sources": (select_sources, _rules_sql()),
     "provenance_patterns": (provenance_patterns, None),
 }
 

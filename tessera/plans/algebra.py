@@ -167,6 +167,31 @@ def in_scope(node: object) -> set[Var]:
     return own.union(*(in_scope(c) for c in children(node)))
 
 
+def certain(node: object) -> set[Var]:
+    """Variables that every solution of node binds."""
+    if isinstance(node, (Join, LeftJoin, Minus, Union)):
+        left = certain(node.left)
+        if isinstance(node, Join):
+            return left | certain(node.right)
+        return left & certain(node.right) if isinstance(node, Union) else left
+    if isinstance(node, BGP):
+        return in_scope(node)
+    if isinstance(node, Values):
+        return {v for i, v in enumerate(node.names) if all(r[i] is not None for r in node.rows)}
+    if isinstance(node, (Group, Service)):
+        return set()
+    inner = certain(node.body) if hasattr(node, "body") else set()
+    if isinstance(node, Project):
+        return inner & set(node.names)
+    if isinstance(node, Graph) and isinstance(node.name, Var):
+        return inner | {node.name}
+    return inner
+
+
+def constant(term: str | None) -> str | None:
+    return None if isinstance(term, Var) else term
+
+
 def expressions(e: Expr | None) -> list[Expr]:
     """e and all expressions in it, those inside EXISTS excluded."""
     if e is None:

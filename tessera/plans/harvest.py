@@ -1,8 +1,8 @@
 """Harvest and answer: only the triples that can take part in an answer, source by source.
 
 Each source is harvested by itself: patterns are counted, and fetched one after another, each
-narrowed down by the bindings of those before it. What had to be left out, or couldn't be had, is
-declared. The query is then evaluated, unchanged, over what all sources gave.
+narrowed down by the bindings of those before it, and of the paths that these make up. What had to be
+left out, or couldn't be had, is declared. The query is then evaluated, unchanged, over what all sources gave.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.paths import nullable, path_plan, predicates
 from tessera.operators.solutions import Plan, col_of, join, name_of
 from tessera.operators.tables import written
-from tessera.plans import scopes
-from tessera.plans.algebra import Path, Var
+from tessera.plans.algebra import Path, Triple, Var
 from tessera.plans.compile import evaluate
-from tessera.plans.scopes import Pattern, covers, decompose, label, path_support, restriction, schedule
+from tessera.plans.demand import Narrowing, Pattern, decompose, includes, label, narrowing, order, with_path_support
 from tessera.sources.dataset import QuadDataset
-from tessera.sources.remote import UNREACHABLE, Config, Source, open_source
+from tessera.sources.remote import NOTES, UNREACHABLE, Config, Source, open_source
 from tessera.terms import TERM
 
 #: Skolem IRIs stand for blank nodes, and no service knows another's.
@@ -43,6 +43,7 @@ class PatternStats:
     bindings: int | None = None
     incomplete: bool = False
     reused_from: int | None = None
+    requests: int = 0
 
 
 @dataclass
@@ -53,8 +54,14 @@ class Stats:
     triples_stored: int = 0
     triples_dropped: int = 0
     errors: int = 0
+    requests: int = 0
+    pages: int = 0
+    bytes: int = 0
+    cache_hits: int = 0
+    iris_rewritten: int = 0
     declared_incomplete: bool = False
     seconds: float = 0.0
+    phases: dict[str, float] = field(default_factory=dict)
 
     def decisions(self) -> list[str]:
         return [p.decision for p in sorted(self.patterns, key=lambda p: p.index)]
@@ -80,9 +87,28 @@ class _Run:
         self.barred: set[int] = set()
         self.stats = Stats(source.identity)
 
+    def ready(self, there: Iterable[int]) -> list[int]:
+        """The paths that can be evaluated over what is there: all triples of their predicates are,
+        and no path of no steps connects nodes that aren't."""
+        whole = [self.patterns[i] for i in there]
+
+        def done(p: Pattern) -> bool:
+            needs = predicates(p.p) if isinstance(p.p, Path) else []
+            edges = (Pattern(Var("s"), name, Var("o"), p.graph) for name in needs)
+            return bool(needs) and not nullable(p.p) and all(any(includes(w, e) for w in whole) for e in edges)  # type: ignore[arg-type]
+
+        return [i for i, p in enumerate(self.patterns) if done(p)]
+
     def solutions(self, i: int) -> Plan:
-        """The bindings of a pattern's variables by its fragment."""
-        p, df = self.patterns[i], self.got[i]
+        """The bindings of a pattern's variables by its fragment, of a path's by its predicates'."""
+        p = self.patterns[i]
+        if isinstance(p.p, Path):
+            needs = predicates(p.p)
+            parts = [self.got[m].where(F.col("p").isin(needs)) for m in self.whole if isinstance(self.patterns[m].p, Var) or self.patterns[m].p in needs]
+            held = reduce(DataFrame.union, parts).distinct().withColumn("g", F.lit(None).cast("string"))
+            plan = path_plan(QuadDataset(held), Triple(p.s, p.p, p.o))
+            return plan.with_kinds({v: TERM for v in plan.kinds})
+        df = self.got[i]
         at: dict[str, str] = {}
         for c, x in (("s", p.s), ("p", p.p), ("o", p.o)):
             if not isinstance(x, Var):
@@ -93,39 +119,41 @@ class _Run:
                 at[x] = c
         return Plan(df.select(*[F.col(c).alias(name_of(v)) for v, c in at.items()]), dict.fromkeys(at, TERM), set(at))
 
-    def keys(self, i: int, plan: scopes.Restriction) -> DataFrame:
-        """The different bindings that plan allows for pattern i: a semi-join's right side, made
-        level by level, each boundary passing only what is surely bound there."""
-        current: Plan | None = None
-        for level, members in enumerate(plan.levels):
-            if level and current is not None:
-                kept = [v for v in current.kinds if v in plan.gates[level - 1]]
-                current = current.select(kept).distinct() if kept else None
-            rest = list(members)
-            while rest:
-                near = [m for m in rest if current is None or set(self.patterns[m].variables()) & set(current.kinds)]
-                m = (near or rest)[0]
-                rest.remove(m)
-                own = self.solutions(m)
-                current = own if current is None else join(current, own)
+    def bindings(self, found: Narrowing) -> Plan | None:
+        """The bindings that a place allows: what is around it, handed on through the variables that
+        are felt here, joined with what is here."""
+        current = self.bindings(found.outer) if found.outer else None
+        if current is not None:
+            kept = [v for v in current.kinds if v in found.through]
+            current = current.select(kept).distinct() if kept else None
+        rest = list(found.own)
+        while rest:
+            linked = [m for m in rest if current is None or self.patterns[m].variables() & set(current.kinds)]
+            rest.remove(m := (linked or rest)[0])
+            current = self.solutions(m) if current is None else join(current, self.solutions(m))
+        return current
+
+    def keys(self, found: Narrowing, names: list[str]) -> DataFrame:
+        """The different bindings of names that are allowed: a semi-join's right side."""
+        current = self.bindings(found)
         assert current is not None
-        names = [v for v in plan.variables if v in current.kinds]
-        return written(current.select(names).distinct().df, "keys")
+        return written(current.select([v for v in names if v in current.kinds]).distinct().df, "keys")
 
     def pattern(self, i: int, count: int) -> PatternStats:
         p, done = self.patterns[i], [m for m in self.got if m not in self.barred]
+        done += self.ready(self.whole)
         note = PatternStats(i, label(p), count, "full")
-        whole = next((m for m in sorted(self.whole) if covers(self.patterns[m], p)), None)
+        whole = next((m for m in sorted(self.whole) if includes(self.patterns[m], p)), None)
         if whole is not None:
             note.decision, note.reused_from = "reused", whole
             self.got[i] = self.got[whole]
             return note
-        plan = restriction(i, self.patterns, done)
+        plan = narrowing(i, self.patterns, done)
         nothing = self.source.spark.createDataFrame([], "s string, p string, o string")
         keys, names = None, []
         if plan is not None:
-            keys = self.keys(i, plan)
-            names = [v for v in plan.variables if name_of(v) in keys.columns]
+            keys = self.keys(*plan)
+            names = [v for v in plan[1] if name_of(v) in keys.columns]
             had = keys
             for v in names:
                 if v == p.s:
@@ -166,14 +194,23 @@ class _Run:
                 note.decision = "bind"
                 fetched = self.source.fetch_bound(p, keys, names)
         fetched = written(fetched, "fragment")
-        failed, dropped, n = fetched.agg(F.coalesce(F.max("incomplete"), F.lit(False)), F.coalesce(F.sum("dropped"), F.lit(0)), F.count("s")).first()
-        note.triples = n
-        self.stats.triples_received += n
-        self.stats.triples_dropped += dropped
-        self.stats.errors += bool(failed)
-        if failed or dropped:
+        total = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(n)
+        renamed = F.count(F.when(F.col("s").isNull() & F.col("p").isNotNull(), 1)).alias("renamed")
+        r = fetched.agg(F.coalesce(F.max("incomplete"), F.lit(False)).alias("failed"), *[total(n) for n in NOTES[1:]], F.count("s").alias("n"), renamed).first()
+        note.triples, note.requests = r.n, r.requests
+        stats = self.stats
+        stats.triples_received += r.n
+        stats.triples_dropped += r.dropped
+        stats.errors += bool(r.failed)
+        for name in ("requests", "pages", "bytes", "cache_hits"):
+            setattr(stats, name, getattr(stats, name) + r[name])
+        if r.renamed:
+            origins = fetched.where("s is null and p is not null").select(F.col("p").alias("iri"), F.col("o").alias("origin")).distinct()
+            stats.iris_rewritten += origins.count()
+            self.source.note_origins(origins)
+        if r.failed or r.dropped:
             note.incomplete = True
-            self.stats.declared_incomplete = True
+            stats.declared_incomplete = True
         elif note.decision == "full":
             self.whole.add(i)
         self.got[i] = fetched.where("s is not null").select("s", "p", "o").distinct()
@@ -183,15 +220,24 @@ class _Run:
         started, t0 = datetime.now(timezone.utc), time.time()
         simple = [i for i, p in enumerate(self.patterns) if not p.is_path]
         counts = dict(zip(simple, self.source.counts([self.patterns[i] for i in simple]), strict=True))
+        self.stats.phases["count"] = time.time() - t0
+        if self.source.dropped:
+            self.stats.triples_dropped += self.source.dropped
+            self.stats.declared_incomplete = True
         if simple and all(c == UNREACHABLE for c in counts.values()):
             self.stats.declared_incomplete = True
+            self.stats.errors += 1
             self.stats.patterns = [PatternStats(i, label(self.patterns[i]), UNREACHABLE, "unreachable", incomplete=True) for i in simple]
         else:
-            for i in schedule(self.patterns, [counts.get(i, 0) for i in range(len(self.patterns))]):
+            for i in order(self.patterns, [counts.get(i, 0) for i in range(len(self.patterns))], self.ready):
                 self.stats.patterns.append(self.pattern(i, counts[i]))
         for i, p in enumerate(self.patterns):
             if isinstance(p.p, Path):
                 self.stats.patterns.append(PatternStats(i, label(p), 0, "path"))
+        self.stats.phases["fetch"] = time.time() - t0 - self.stats.phases["count"]
+        for name in ("requests", "pages", "bytes", "cache_hits"):
+            setattr(self.stats, name, getattr(self.stats, name) + getattr(self.source.meter, name))
+        self.source.meter.note()  # counted now
         parts = list(self.got.values()) or [self.source.spark.createDataFrame([], "s string, p string, o string")]
         triples = written(reduce(DataFrame.union, parts).distinct(), "harvest")
         self.stats.triples_stored = triples.count()
@@ -199,12 +245,14 @@ class _Run:
         return Harvest(self.source, self.patterns, triples, self.stats, started, datetime.now(timezone.utc))
 
 
-def harvest(spark: SparkSession, query: str, sources: Iterable[object], config: Config | None = None, strict: bool = False) -> list[Harvest]:
+def harvest(spark: SparkSession, query: str, sources: Iterable[object], config: Config | None = None, strict: bool | None = None) -> list[Harvest]:
     """What each source has of the query's patterns, in the sources' order; none without patterns.
-    strict: a pattern that nothing narrows down where something should is skipped."""
-    patterns = path_support(decompose(query))
+    strict (by default as the settings say): a pattern that nothing narrows down where something should
+    is skipped."""
+    patterns = with_path_support(decompose(query))
     if not patterns:
         return []
+    strict = (config or Config()).strict if strict is None else strict
     opened = [open_source(spark, s, config) for s in sources]
     with ThreadPoolExecutor(max(1, (config or Config()).parallel_sources)) as pool:
         return list(pool.map(lambda s: _Run(s, patterns, strict).run(), opened))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera import terms as T
 from tessera.operators.tables import written
 from tessera.plans.compile import evaluate
+from tessera.plans.demand import label
 from tessera.plans.harvest import Harvest, nanopub
-from tessera.plans.scopes import label
 from tessera.sources.dataset import QuadDataset
 from tessera.sources.rdf import Quad, as_lines, read_rdf, write_nquads, write_trig
 
@@ -31,6 +31,12 @@ DCT = "http://purl.org/dc/terms/"
 OWN = "urn:tessera:vocabulary:"
 AGENT = "urn:tessera:agent"
 VERSION = "0.1"
+#: Why a pattern was not retrieved, by what was decided.
+REASONS = {
+    "skipped": "nothing that was retrieved narrows it down, and a strict run fetches nothing whole",
+    "skipped-dump": "without bindings it would be the whole source",
+    "unreachable": "the source couldn't be reached or read",
+}
 
 
 def describing(h: Harvest, base: str) -> list[Quad]:
@@ -67,11 +73,13 @@ def describing(h: Harvest, base: str) -> list[Quad]:
         out += [(activity, i(PROV + "used"), entity, prov), (entity, T.TYPE, i(PROV + "Entity"), prov)]
         out += [(entity, i(T.RDFS + "label"), T.literal(name), prov), (entity, i(T.RDFS + "comment"), T.literal(label(p)), prov)]
         if n.decision in ("skipped", "skipped-dump", "unreachable"):
-            out += [(entity, i(OWN + "notRetrievedFrom"), place, prov), (entity, i(OWN + "skipReason"), T.literal(n.decision), prov)]
+            out += [(entity, i(OWN + "notRetrievedFrom"), place, prov), (entity, i(OWN + "skipReason"), T.literal(REASONS[n.decision]), prov)]
         elif n.incomplete:
             out += [(entity, i(OWN + "incompletelyRetrievedFrom"), place, prov), (entity, i(OWN + "skipReason"), T.literal("failed requests or unreadable statements"), prov)]
     if h.stats.declared_incomplete:
         out.append((fact, i(OWN + "declaredIncomplete"), T.literal("true", T.XSD + "boolean"), prov))
+    if h.stats.iris_rewritten:
+        out.append((fact, i(OWN + "rewrittenIRIs"), T.literal(str(h.stats.iris_rewritten), T.XSD + "integer"), prov))
     if h.stats.triples_dropped:
         out.append((fact, i(OWN + "droppedStatements"), T.literal(str(h.stats.triples_dropped), T.XSD + "integer"), prov))
     return out

@@ -30,9 +30,12 @@ _FORBIDDEN = re.compile('[\x00-\x20<>"{}|^`\\\\\x7f-\x9f]')
 Quad = tuple[str, str, str, str | None]
 
 
-def repaired(iri: str) -> str:
-    """The IRI with forbidden characters percent-encoded."""
-    return _FORBIDDEN.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), iri)
+def repaired(iri: str, origins: dict[str, str] | None = None) -> str:
+    """The IRI with forbidden characters percent-encoded; origins remembers how it was spelled."""
+    out = _FORBIDDEN.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), iri)
+    if origins is not None and out != iri:
+        origins[out] = iri
+    return out
 
 
 def format_of(path: str, given: str | None = None) -> str:
@@ -48,9 +51,9 @@ _LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*+"(?:
 _PY_LINE = re.compile(_LINE)
 
 
-def _term(token: str) -> str:
+def _term(token: str, origins: dict[str, str] | None = None) -> str:
     if token.startswith("<"):
-        return T.iri(repaired(unescape(token[1:-1])))
+        return T.iri(repaired(unescape(token[1:-1]), origins))
     if token.startswith("_:"):
         return token.rstrip(".")
     end = token.rindex('"')
@@ -60,10 +63,10 @@ def _term(token: str) -> str:
     return T.literal(lexical, repaired(unescape(tail[3:-1])) if tail else None)
 
 
-def line(text: str) -> Quad | None:
+def line(text: str, origins: dict[str, str] | None = None) -> Quad | None:
     """The quad of one line; None if there is none, or it can't be read."""
     m = _PY_LINE.match(text)
-    return (_term(m[1]), _term(m[2]), _term(m[3]), _term(m[4]) if m[4] else None) if m else None
+    return (*(_term(m[i], origins) for i in (1, 2, 3)), _term(m[4], origins) if m[4] else None) if m else None  # type: ignore[return-value]
 
 
 def _columns(value: Column) -> list[Column]:
@@ -113,8 +116,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 class _Document(Parser):
     """Turtle and TriG by the query parser's grammar of terms and triples."""
 
-    def __init__(self, text: str, base: str, scope: str):
-        text = re.sub(r"<([^<>\n]*)>", lambda m: f"<{repaired(unescape(m[1]))}>", text)
+    def __init__(self, text: str, base: str, scope: str, origins: dict[str, str] | None = None):
+        text = re.sub(r"<([^<>\n]*)>", lambda m: f"<{repaired(unescape(m[1]), origins)}>", text)
         super().__init__(text)
         self.base, self.scope = base, scope
 
@@ -183,8 +186,8 @@ class _Document(Parser):
         return out
 
 
-def turtle(text: str, base: str = "", scope: str = "") -> list[Quad]:
-    return _Document(text, base, scope).quads()
+def turtle(text: str, base: str = "", scope: str = "", origins: dict[str, str] | None = None) -> list[Quad]:
+    return _Document(text, base, scope, origins).quads()
 
 
 # --- RDF/XML ----------------------------------------------------------------------------------
@@ -382,19 +385,30 @@ def jsonld(text: str, base: str = "", scope: str = "") -> list[Quad]:
 
 @dataclass
 class Parsed:
+    """origins: how repaired IRIs were spelled."""
+
     quads: list[Quad] = field(default_factory=list)
     dropped: int = 0
+    origins: dict[str, str] = field(default_factory=dict)
 
 
 def parse_document(text: str, form: str, base: str = "", scope: str = "") -> Parsed:
     """All statements of a document; if it can't be read as a whole, those that can be read line
     by line or statement by statement. ValueError if there are none."""
+    out = Parsed()
     if form in ("ntriples", "nquads"):
-        rows = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
-        found = [line(x) for x in rows]
-        return Parsed([q for q in found if q], sum(q is None for q in found))
+        for x in text.split("\n"):
+            if x.strip() and not x.lstrip().startswith("#"):
+                quad = line(x, out.origins)
+                out.quads += [quad] if quad else []
+                out.dropped += quad is None
+        return out
     try:
-        return Parsed({"turtle": turtle, "trig": turtle, "rdfxml": rdfxml, "jsonld": jsonld}[form](text, base, scope))
+        if form in ("turtle", "trig"):
+            out.quads = turtle(text, base, scope, out.origins)
+        else:
+            out.quads = {"rdfxml": rdfxml, "jsonld": jsonld}[form](text, base, scope)
+        return out
     except (QueryError, ValueError, ET.ParseError, IndexError) as error:
         if form in ("turtle", "trig"):
             out = Parsed()
@@ -403,7 +417,7 @@ def parse_document(text: str, form: str, base: str = "", scope: str = "") -> Par
                 if not part.strip() or re.fullmatch(r"(?is)(\s*@?(?:prefix|base)\b[^\n]*\n?)*", part):
                     continue
                 try:
-                    out.quads += turtle(head + "\n" + part, base, scope)
+                    out.quads += turtle(head + "\n" + part, base, scope, out.origins)
                 except (QueryError, IndexError):
                     out.dropped += 1
             if out.quads:
@@ -411,24 +425,74 @@ def parse_document(text: str, form: str, base: str = "", scope: str = "") -> Par
         raise ValueError(f"no statement of this {form} document can be read: {error}") from error
 
 
-def read_rdf(spark: SparkSession, path: str, form: str | None = None, base: str = "") -> DataFrame:
-    """A file or folder as quads (s, p, o, g). Blank nodes are kept apart by file."""
+COUNTED = SCHEMA + ", dropped int"
+
+
+def _counted(quads: list[Quad], dropped: int) -> Iterator[pa.RecordBatch]:
+    """Batches of COUNTED: the quads, and a row without terms if statements were dropped."""
+    rows = [(*q, 0) for q in quads] + ([(None, None, None, None, dropped)] if dropped else [])
+    types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+    for at in range(0, len(rows), 20_000):
+        part = rows[at : at + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], names=["s", "p", "o", "g", "dropped"])
+
+
+def _downloaded(spark: SparkSession, url: str, form: str, base: str, timeout: float) -> DataFrame:
+    """A document at an address, read by a task: line formats as they come in, others whole."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import urllib.request
+
+        for _ in batches:
+            with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": "*/*"}), timeout=timeout) as r:
+                if form not in ("ntriples", "nquads"):
+                    yield from _document(r.read(), form, base or url, url)
+                    return
+                held = []
+                for raw in r:
+                    held.append(raw.decode("utf-8", "replace").rstrip("\r\n"))
+                    if len(held) >= 20_000:
+                        found = parse_document("\n".join(held), form)
+                        yield from _counted(found.quads, found.dropped)
+                        held = []
+                found = parse_document("\n".join(held), form)
+                yield from _counted(found.quads, found.dropped)
+
+    return spark.range(1, numPartitions=1).mapInArrow(work, COUNTED)
+
+
+def _document(content: bytes, form: str, base: str, name: str) -> Iterator[pa.RecordBatch]:
+    """A document's quads; one that can't be read at all is a dropped statement."""
+    import zlib
+
+    try:
+        found = parse_document(content.decode("utf-8", "replace"), form, base, f"f{zlib.crc32(name.encode()):08x}")
+    except ValueError:
+        found = Parsed(dropped=1)
+    yield from _counted(found.quads, found.dropped)
+
+
+def read_counted(spark: SparkSession, path: str, form: str | None = None, base: str = "", timeout: float = 60.0) -> DataFrame:
+    """A file, folder or http(s) address as COUNTED (s, p, o, g, dropped): rows without terms tell
+    how many statements couldn't be read. Blank nodes are kept apart by file."""
     form = format_of(path, form)
+    if path.startswith(("http://", "https://")):
+        return _downloaded(spark, path, form, base, timeout)
     if form in ("ntriples", "nquads"):
-        return read_lines(spark, path).where("not dropped").drop("dropped")
+        return read_lines(spark, path).withColumn("dropped", F.col("dropped").cast("int"))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                quads = parse_document(content.decode("utf-8", "replace"), form, base or name, f"f{zlib.crc32(name.encode()):08x}").quads
-                for at in range(0, max(1, len(quads)), 20_000):
-                    part = quads[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([q[i] for q in part], pa.string()) for i in range(4)], names=list("spog"))
+                yield from _document(content, form, base or name, name)
+
+    return files.mapInArrow(work, COUNTED)
 
-    return files.mapInArrow(work, SCHEMA)
+
+def read_rdf(spark: SparkSession, path: str, form: str | None = None, base: str = "") -> DataFrame:
+    """What can be read of a file, folder or address as quads (s, p, o, g)."""
+    return read_counted(spark, path, form, base).where("s is not null").drop("dropped")
 
 
 # --- writers ----------------------------------------------------------------------------------

@@ -1,9 +1,11 @@
 """Repositories: what triple patterns are harvested from.
 
 A Source counts a pattern's triples and fetches them, all or only those with given bindings, as
-(s, p, o, incomplete, dropped): incomplete marks a failed request, dropped counts statements that
-couldn't be read. Requests to services are made by tasks, a block of bindings each, so neither
-bindings nor triples pass through the driver.
+(s, p, o) with notes: rows without a subject tell of failed requests, of statements that couldn't be
+read, of requests made, and (p, o) how an IRI was spelled before it was repaired. Requests to services
+are made by tasks, a block of bindings each, so neither bindings nor triples pass through the driver.
+Bindings are different ones, so no address is asked for twice in a fetch; a worker keeps the pages that
+it has read, and there are no more tasks at a service than `concurrent_requests`.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ import os
 import time
 import urllib.error
 import urllib.request
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -25,9 +30,9 @@ from tessera import terms as T
 from tessera.operators.solutions import col_of, name_of
 from tessera.operators.tables import written
 from tessera.plans.algebra import Triple, Var
-from tessera.plans.scopes import Pattern
+from tessera.plans.demand import Pattern
 from tessera.sources.dataset import Dataset, QuadDataset
-from tessera.sources.rdf import FORMATS, MEDIA, parse_document, read_rdf, repaired
+from tessera.sources.rdf import FORMATS, MEDIA, parse_document, read_counted, repaired
 from tessera.terms import TERM
 
 UNREACHABLE = 999_999_999
@@ -35,7 +40,9 @@ UNREACHABLE = 999_999_999
 MANY = 10_000
 ACCEPT = "application/trig;q=1.0, application/n-quads;q=0.9, text/turtle;q=0.8, application/n-triples;q=0.7"
 HYDRA, VOID = "http://www.w3.org/ns/hydra/core#", "http://rdfs.org/ns/void#"
-SCHEMA = "s string, p string, o string, incomplete boolean, dropped int"
+NOTES = ("incomplete", "dropped", "requests", "pages", "bytes", "cache_hits")
+SCHEMA = "s string, p string, o string, incomplete boolean, dropped int, requests int, pages int, bytes long, cache_hits int"
+_PLAIN = (False, 0, 0, 0, 0, 0)
 
 
 @dataclass
@@ -49,6 +56,9 @@ class Config:
     retries: int = 2
     skip_forced_dumps: bool = True
     parallel_sources: int = 4
+    concurrent_requests: int = 16
+    page_cache: int = 2048
+    strict: bool = False
 
     @classmethod
     def of(cls, **settings: object) -> Config:
@@ -58,13 +68,33 @@ class Config:
         return cls(**settings)  # type: ignore[arg-type]
 
 
-def request(url: str, config: Config, accept: str, data: bytes | None = None, kind: str = "") -> tuple[bytes, str] | None:
+@dataclass
+class Meter:
+    """What was asked of a service."""
+
+    requests: int = 0
+    pages: int = 0
+    bytes: int = 0
+    cache_hits: int = 0
+
+    def note(self, incomplete: bool = False, dropped: int = 0) -> tuple:
+        """A row of what has happened since the last one."""
+        out = (None, None, None, incomplete, dropped, self.requests, self.pages, self.bytes, self.cache_hits)
+        self.requests = self.pages = self.bytes = self.cache_hits = 0
+        return out
+
+
+def request(url: str, config: Config, accept: str, data: bytes | None = None, kind: str = "", meter: Meter | None = None) -> tuple[bytes, str] | None:
     """(body, media type); None if it failed, also when tried again."""
     headers = {"Accept": accept} | ({"Content-Type": kind} if kind else {})
+    meter = meter or Meter()
     for attempt in range(config.retries + 1):
+        meter.requests += 1
         try:
             with urllib.request.urlopen(urllib.request.Request(url, data, headers), timeout=config.timeout) as r:
-                return r.read(), r.headers.get_content_type()
+                body = r.read()
+                meter.bytes += len(body)
+                return body, r.headers.get_content_type()
         except urllib.error.HTTPError as error:
             if error.code != 429 and error.code < 500:
                 return None
@@ -97,6 +127,12 @@ class Source:
 
     def __init__(self, spark: SparkSession, identity: str, config: Config | None = None):
         self.spark, self.identity, self.config = spark, identity, config or Config()
+        self.meter = Meter()  # of the driver's own requests
+        self.dropped = 0  # statements of a document that couldn't be read
+        self.token = uuid.uuid4().hex
+
+    def note_origins(self, origins: DataFrame) -> None:
+        """Remembers how repaired IRIs (iri, origin) were spelled."""
 
     def count(self, p: Pattern) -> int:
         raise NotImplementedError
@@ -135,8 +171,13 @@ class DatasetSource(Source):
         return Triple(p.s, p.p, p.o)
 
     def counts(self, patterns: list[Pattern]) -> list[int]:
-        if not isinstance(self.data, QuadDataset) or not patterns:
-            return [self.count(p) for p in patterns]
+        if not patterns:
+            return []
+        if not isinstance(self.data, QuadDataset):  # an aggregate for each pattern, all in one job
+            plans = [self.data.match(self._triple(p), self._graph(p)).df for p in patterns]
+            parts = [df.agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n") for i, df in enumerate(plans)]
+            found = {r.i: r.n for r in reduce(DataFrame.union, parts).collect()}
+            return [found[i] for i in range(len(patterns))]
         sums = []
         for i, p in enumerate(patterns):
             test, seen = F.lit(True), {}
@@ -163,62 +204,86 @@ class DatasetSource(Source):
         plan = self.data.match(self._triple(p), self._graph(p))
         plan = plan.with_kinds({v: TERM for v in plan.kinds})
         cell = lambda x: col_of(x) if isinstance(x, Var) else F.lit(x)
-        return plan.df.select(cell(p.s).alias("s"), cell(p.p).alias("p"), cell(p.o).alias("o"), F.lit(False).alias("incomplete"), F.lit(0).alias("dropped"))
+        notes = [F.lit(v).cast("long" if n == "bytes" else "boolean" if n == "incomplete" else "int").alias(n) for n, v in zip(NOTES, _PLAIN, strict=True)]
+        return plan.df.select(cell(p.s).alias("s"), cell(p.p).alias("p"), cell(p.o).alias("o"), *notes)
 
     def fetch_bound(self, p: Pattern, keys: DataFrame, names: list[str]) -> DataFrame:
         return self.keep(p, self.fetch(p), keys, names)
 
 
 class DumpSource(DatasetSource):
-    """An RDF file or folder, read once into a table of its own. Blank nodes have no identity
-    outside their file, so their triples aren't harvested. One that can't be read is empty."""
+    """An RDF file, folder or http(s) address, read once into a table of its own. Blank nodes have no
+    identity outside their file, so their triples aren't harvested. One that can't be read is
+    unreachable, and what couldn't be read of one is dropped: a harvest declares both."""
 
     def __init__(self, spark: SparkSession, path: str, form: str | None = None, config: Config | None = None):
+        config = config or Config()
+        self.error: Exception | None = None
+        nothing = spark.createDataFrame([], "s string, p string, o string, g string")
         try:
-            quads = written(read_rdf(spark, path, form).where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:")), "dump")
-            self.error = None
+            read = written(read_counted(spark, path, form, timeout=config.timeout), "dump")
+            dropped = read.agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]
+            quads = read.where("s is not null").where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:")).drop("dropped")
         except Exception as error:  # noqa: BLE001  whatever the reader meets
-            quads, self.error = spark.createDataFrame([], "s string, p string, o string, g string"), error
+            quads, dropped, self.error = nothing, 0, error
         super().__init__(QuadDataset(quads), path if "://" in path else f"file://{os.path.abspath(path)}", config)
+        self.dropped = dropped
+
+    def counts(self, patterns: list[Pattern]) -> list[int]:
+        return [UNREACHABLE] * len(patterns) if self.error else super().counts(patterns)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["s", "p", "o", "incomplete", "dropped"])
+    types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["s", "p", "o", *NOTES])
 
 
 class _Service(Source):
     """A source whose triples come from requests, which tasks make."""
 
-    def answer(self, p: Pattern, block: list[dict[str, str]]) -> Iterator[tuple]:
+    def answer(self, p: Pattern, block: list[dict[str, str]], meter: Meter) -> Iterator[tuple]:
+        """Rows for a block of bindings; a binding's key "v:origin" is how v's value was spelled."""
         raise NotImplementedError
 
     block = 1
+    origins: DataFrame | None = None
 
     def _task(self, p: Pattern, names: list[str]):
         answer, size = self.answer, self.block
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[dict[str, str]] = []
+            meter = Meter()
             for b in batches:
-                held += [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] if names else [{}] * b.num_rows
+                held += [{k: v for k, v in zip(names, r, strict=True) if v is not None} for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] if names else [{}] * b.num_rows
                 while len(held) >= size:
-                    yield _table(list(answer(p, held[:size])))
+                    yield _table([*answer(p, held[:size], meter), meter.note()])
                     held = held[size:]
             if held:
-                yield _table(list(answer(p, held)))
+                yield _table([*answer(p, held, meter), meter.note()])
 
         return work
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "spark"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("spark", "origins")}
+
+    def note_origins(self, origins: DataFrame) -> None:
+        self.origins = origins if self.origins is None else self.origins.union(origins).dropDuplicates(["iri"])
 
     def fetch(self, p: Pattern) -> DataFrame:
         return written(self.spark.range(1, numPartitions=1).mapInArrow(self._task(p, []), SCHEMA), "fetched")
 
     def fetch_bound(self, p: Pattern, keys: DataFrame, names: list[str]) -> DataFrame:
         rows = keys.select(*[col_of(v).alias(name_of(v)) for v in names]).distinct()
-        return written(rows.mapInArrow(self._task(p, names), SCHEMA), "fetched")
+        asked = list(names)
+        if self.origins is not None:
+            for v in names:
+                spelled = self.origins.select(F.col("iri").alias(f"i:{v}"), F.col("origin").alias(f"{name_of(v)}:origin"))
+                rows = rows.join(spelled, col_of(v) == F.col(f"`i:{v}`"), "left").drop(f"i:{v}")
+                asked.append(f"{v}:origin")
+            rows = rows.select(*[col_of(v) for v in names], *[F.col(f"`{name_of(v)}:origin`") for v in names])
+        rows = rows.coalesce(max(1, self.config.concurrent_requests))
+        return written(rows.mapInArrow(self._task(p, asked), SCHEMA), "fetched")
 
 
 class SparqlSource(_Service):
@@ -235,10 +300,22 @@ class SparqlSource(_Service):
             return f"GRAPH {p.graph} {{ {shown} }}"
         return f"{{ {shown} }} UNION {{ GRAPH ?any_graph {{ {shown} }} }}"
 
-    def _ask(self, query: str) -> list[dict] | None:
-        got = request(self.identity, self.config, "application/sparql-results+json", urlencode({"query": query}).encode(), "application/x-www-form-urlencoded")
+    def _said(self, query: str, meter: Meter | None = None) -> dict | None:
+        got = request(self.identity, self.config, "application/sparql-results+json", urlencode({"query": query}).encode(), "application/x-www-form-urlencoded", meter or self.meter)
         try:
-            return json.loads(got[0])["results"]["bindings"] if got else None
+            return json.loads(got[0]) if got else None
+        except ValueError:
+            return None
+
+    def holds(self, query: str) -> bool | None:
+        """The answer to an ASK query; None if there is none."""
+        said = self._said(query)
+        return said.get("boolean") if isinstance(said, dict) else None
+
+    def _ask(self, query: str, meter: Meter | None = None) -> list[dict] | None:
+        said = self._said(query, meter)
+        try:
+            return said["results"]["bindings"] if said is not None else None
         except (ValueError, KeyError, TypeError):
             return None
 
@@ -249,26 +326,29 @@ class SparqlSource(_Service):
         except (KeyError, ValueError):
             return UNREACHABLE
 
-    def answer(self, p: Pattern, block: list[dict[str, str]]) -> Iterator[tuple]:
+    def answer(self, p: Pattern, block: list[dict[str, str]], meter: Meter) -> Iterator[tuple]:
+        block = [{v: b.get(f"{v}:origin", x) for v, x in b.items() if not v.endswith(":origin")} for b in block]
         plain = lambda v: name_of(v).replace("$", "_").replace("%", "_")
         names = list(dict.fromkeys(x for x in (p.s, p.p, p.o) if isinstance(x, Var)))
         bound = list(block[0])
         values = f"VALUES ({' '.join('?' + plain(v) for v in bound)}) {{ {' '.join('(' + ' '.join(T.nt(b[v]) for v in bound) + ')' for b in block)} }} " if bound else ""
-        rows = self._ask(f"SELECT DISTINCT {' '.join('?' + plain(v) for v in names) or '*'} {{ {values}{self._where(p)} }}")
+        rows = self._ask(f"SELECT DISTINCT {' '.join('?' + plain(v) for v in names) or '*'} {{ {values}{self._where(p)} }}", meter)
         if rows is None:
-            yield None, None, None, True, 0
+            yield meter.note(incomplete=True)
             return
+        origins: dict[str, str] = {}
         for r in rows:
             found: dict[str, str] = {}
             for v in names:
                 b = r.get(plain(v), {"type": "bnode"})
                 if b["type"] == "bnode":
                     break
-                found[v] = T.iri(b["value"]) if b["type"] == "uri" else T.literal(b["value"], b.get("datatype"), b.get("xml:lang"))
+                found[v] = T.iri(repaired(b["value"], origins)) if b["type"] == "uri" else T.literal(b["value"], b.get("datatype"), b.get("xml:lang"))
             else:
                 s, q, o = (found.get(x, x) for x in (p.s, p.p, p.o))
                 if s.startswith("<") and q.startswith("<"):
-                    yield s, q, o, False, 0
+                    yield (s, q, o, *_PLAIN)
+        yield from ((None, T.iri(i), T.iri(was), *_PLAIN) for i, was in origins.items())
 
 
 @dataclass
@@ -279,11 +359,12 @@ class Page:
     next_url: str | None
     ok: bool
     dropped: int
+    origins: dict[str, str] = field(default_factory=dict)
 
 
-def read_page(url: str, config: Config) -> Page:
+def read_page(url: str, config: Config, meter: Meter | None = None) -> Page:
     """A page of a fragment, its data apart from what it says about itself."""
-    got = request(url, config, ACCEPT)
+    got = request(url, config, ACCEPT, meter=meter)
     if got is None:
         return Page([], None, None, None, False, 0)
     body, media = got
@@ -314,7 +395,11 @@ def read_page(url: str, config: Config) -> Page:
         elif p in (f"<{HYDRA}next>", f"<{HYDRA}nextPage>"):
             following = T.parts(o)[1]
     total = totals.get(own, min(totals.values()) if totals else None)
-    return Page(data, total, per_page, following, True, parsed.dropped)
+    return Page(data, total, per_page, following, True, parsed.dropped, parsed.origins)
+
+
+#: Pages that a worker has read, by source and address, the latest last.
+_pages: OrderedDict[tuple[str, str], Page] = OrderedDict()
 
 
 class FragmentsSource(_Service):
@@ -324,32 +409,49 @@ class FragmentsSource(_Service):
         super().__init__(spark, url, config)
         self.page_size = 100
 
-    def url(self, p: Pattern) -> str:
-        parts = urlsplit(self.identity)
+    def url(self, p: Pattern, spelled: dict[str, str] | None = None) -> str:
+        """A fragment's address; spelled: how repaired IRIs are spelled there."""
+        parts, spelled = urlsplit(self.identity), spelled or {}
         query = parse_qsl(parts.query)
         for name, x in (("subject", p.s), ("predicate", p.p), ("object", p.o), ("graph", p.graph)):
             if x is not None and not isinstance(x, Var):
-                query.append((name, T.parts(x)[1] if x.startswith("<") else x))  # type: ignore[union-attr, arg-type]
+                x = spelled.get(x, x)  # type: ignore[arg-type]
+                query.append((name, T.parts(x)[1] if x.startswith("<") else x))
         return urlunsplit((*parts[:3], urlencode(query), ""))
 
+    def _page(self, url: str, meter: Meter) -> Page:
+        key = (self.token, url)
+        if key in _pages:
+            meter.cache_hits += 1
+            _pages.move_to_end(key)
+            return _pages[key]
+        page = read_page(url, self.config, meter)
+        meter.pages += 1
+        if page.ok:
+            _pages[key] = page
+            while len(_pages) > self.config.page_cache:
+                _pages.popitem(last=False)
+        return page
+
     def count(self, p: Pattern) -> int:
-        page = read_page(self.url(p), self.config)
+        page = self._page(self.url(p), self.meter)
         if not page.ok:
             return UNREACHABLE
         self.page_size = page.per_page or self.page_size
         return page.total if page.total is not None else MANY if page.next_url else len(page.triples)
 
-    def answer(self, p: Pattern, block: list[dict[str, str]]) -> Iterator[tuple]:
+    def answer(self, p: Pattern, block: list[dict[str, str]], meter: Meter) -> Iterator[tuple]:
         for values in block:
             one = _bound(p, values)
-            url: str | None = self.url(one)
+            url: str | None = self.url(one, {values[v]: values[f"{v}:origin"] for v in values if f"{v}:origin" in values})
             seen: set[str] = set()
             while url and url not in seen:
                 seen.add(url)
-                page = read_page(url, self.config)
+                page = self._page(url, meter)
                 if not page.ok or page.dropped:
-                    yield None, None, None, not page.ok, page.dropped
-                yield from ((*t, False, 0) for t in _matching(page.triples, one))
+                    yield meter.note(not page.ok, page.dropped)
+                yield from ((*t, *_PLAIN) for t in _matching(page.triples, one))
+                yield from ((None, T.iri(i), T.iri(was), *_PLAIN) for i, was in page.origins.items())
                 short = page.per_page and len(page.triples) + page.dropped < page.per_page
                 url = page.next_url if page.ok and (page.triples or page.dropped) and not short else None
 

@@ -3,13 +3,13 @@
 import pytest
 
 from tessera.plans.compile import evaluate
+from tessera.plans.demand import decompose, includes, narrowing, order, with_path_support
 from tessera.plans.harvest import answer, harvest, run_dataset, stats_table, strict_triples
 from tessera.plans.parser import parse
-from tessera.plans.scopes import covers, decompose, path_support, restriction, schedule
 from tessera.sources.dataset import QuadDataset
 from tessera.sources.provenance import evaluate_published, nanopublication, publish, to_rows
 from tessera.sources.remote import Config, DatasetSource, open_source
-from tests.garden import EX, P, QUERIES, halves, quads
+from tests.railway import NS, PRE, QUERIES, by_vocabulary, quads
 
 SCHEMA = "s string, p string, o string, g string"
 
@@ -25,19 +25,19 @@ def whole(spark):
 
 @pytest.fixture(scope="module")
 def split(spark):
-    return [QuadDataset(spark.createDataFrame(h, SCHEMA).cache()) for h in halves()]
+    return [QuadDataset(spark.createDataFrame(h, SCHEMA).cache()) for h in by_vocabulary()]
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("path_plus", "variable_predicate")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("path_onwards", "bgp_any_predicate")])
 def test_isolated_sources_are_complete(spark, whole, split, name):
-    q = P + QUERIES[name]
+    q = PRE + QUERIES[name]
     got, found = answer(spark, q, [DatasetSource(d, f"http://source/{k}") for k, d in enumerate(split)])
     assert rows(got) == rows(evaluate(q, whole))
     assert len(found) == 2
 
 
 def test_one_source_and_publication(spark, whole, tmp_path):
-    q = P + QUERIES["optional_nested"]
+    q = PRE + QUERIES["leftjoin_inside"]
     source = DatasetSource(whole, "http://source/all", Config.of(page_size=5))
     found = harvest(spark, q, [source])
     assert {"full"} < set(found[0].stats.decisions()) <= {"full", "full+filter", "bind"}
@@ -49,63 +49,115 @@ def test_one_source_and_publication(spark, whole, tmp_path):
         paths = publish(found, "r", str(tmp_path / form), form)
         assert rows(evaluate_published(spark, q, paths)) == want
     assert stats_table(spark, found).count() == 3
-    assert to_rows(evaluate(P + QUERIES["literal_lang"], whole), typed=True) == [{"m": {"type": "uri", "value": EX + "mun3"}}]
+    assert to_rows(evaluate(PRE + QUERIES["bgp_tagged"], whole), typed=True) == [{"stop": {"type": "uri", "value": NS + "s5"}}]
 
 
 def test_forced_dump_is_declared(spark, whole):
-    q = P + "SELECT * { ?x ex:noSuchThing ?y . ?y ?p ?o }"
+    q = PRE + "SELECT * { ?x r:noSuchThing ?y . ?y ?p ?o }"
     found = harvest(spark, q, [DatasetSource(whole, "http://source/all")])
     assert found[0].stats.decisions() == ["empty", "skipped-dump"] and found[0].stats.declared_incomplete
     found = harvest(spark, q, [DatasetSource(whole, "http://source/all", Config.of(skip_forced_dumps=False))])
     assert found[0].stats.decisions() == ["empty", "full"] and not found[0].stats.declared_incomplete
-    assert strict_triples(spark, P + "SELECT DISTINCT ?prov { ?m ex:locatedIn ?prov }", [DatasetSource(whole, "x")]).count() > 0
+
+
+def test_strict_harvest_leaves_out_what_nothing_narrows(spark, whole):
+    """Nothing has noSuchThing, so nothing is known of ?y, and its regions are not fetched."""
+    q = PRE + "SELECT * { ?x r:noSuchThing ?y . ?y r:inRegion ?region . ?train r:runBy r:c1 }"
+    got = strict_triples(spark, q, [DatasetSource(whole, "x")]).collect()
+    want = {q[:3] for q in quads() if q[1] == f"<{NS}runBy>" and q[2] == f"<{NS}c1>"}
+    assert {tuple(r) for r in got} == want
+    found = harvest(spark, q, [DatasetSource(whole, "x")], strict=True)
+    assert sorted(found[0].stats.decisions()) == ["empty", "full", "skipped"]
 
 
 def test_reuse(spark, whole):
-    q = P + "SELECT * { { ?a ex:knows ?b } UNION { ?c ex:knows ex:person1 } UNION { ex:person2 ex:knows ?d } }"
+    q = PRE + "SELECT * { { ?a r:next ?b } UNION { ?c r:next r:s1 } UNION { r:s2 r:next ?d } UNION { ?e r:next ?e } }"
     found = harvest(spark, q, [DatasetSource(whole, "x")])
-    assert sorted(found[0].stats.decisions())[-2:] != [] and found[0].stats.decisions().count("full") >= 1
-    a, b = decompose(P + "SELECT * { ?a ex:knows ?b . ?c ex:knows ex:person1 }")
-    assert covers(a, b) and not covers(b, a)
+    assert rows(evaluate(q, run_dataset(found, "r"))) == rows(evaluate(q, whole))
+    a, b = decompose(PRE + "SELECT * { ?a r:next ?b . ?c r:next r:s1 }")
+    assert includes(a, b) and not includes(b, a)
+    twice, other, named = decompose(PRE + "SELECT * { ?a r:next ?a . ?x r:next ?y GRAPH r:g { ?x r:next ?z } }")
+    assert includes(other, twice) and not includes(twice, other) and not includes(other, named)
 
 
 def patterns(q):
-    return decompose(P + q)
-
-
-def test_direction_of_narrowing():
-    t = patterns("SELECT * { ?p ex:a ?m OPTIONAL { ?m ex:b ?x } }")
-    assert restriction(1, t, [0]).variables == ["m"] and restriction(0, t, [1]) is None
-    t = patterns("SELECT * { ?p ex:a ?m MINUS { ?m ex:b ?x } }")
-    assert restriction(1, t, [0]).variables == ["m"] and restriction(0, t, [1]) is None
-    t = patterns("SELECT * { ?p ex:a ?m { SELECT ?m { ?m ex:b ?x } LIMIT 2 } }")
-    assert restriction(1, t, [0]) is None
-    t = patterns("SELECT * { { ?p ex:a ?m } UNION { ?m ex:b ?x } }")
-    assert restriction(1, t, [0]) is None
-    # only through what is surely bound in the inner required part
-    t = patterns("SELECT * { ?x ex:a ?y OPTIONAL { ?y ex:b ?z OPTIONAL { ?z ex:c ?x } } }")
-    assert restriction(2, t, [0, 1]).variables == ["z"]
-    # nothing that isn't connected takes part
-    t = patterns("SELECT * { ?a ex:a ?b . ?c ex:b ?d . ?d ex:c ?e }")
-    assert restriction(2, t, [0, 1]).members == [1]
-    assert schedule(t, [5, 9, 1]) == [2, 1, 0]
+    return decompose(PRE + q)
+
+
+def names(target, t, at_hand):
+    found = narrowing(target, t, at_hand)
+    return found and found[1]
+
+
+@pytest.mark.parametrize("text", ["OPTIONAL { ?m r:b ?x }", "MINUS { ?m r:b ?x }", "FILTER EXISTS { ?m r:b ?x }", "FILTER NOT EXISTS { ?m r:b ?x }"])
+def test_what_is_required_narrows_the_other_side_only(text):
+    t = patterns(f"SELECT * {{ ?p r:a ?m {text} }}")
+    assert names(1, t, [0]) == ["m"] and names(0, t, [1]) is None
+
+
+@pytest.mark.parametrize("text", ["{ SELECT ?m { ?m r:b ?x } LIMIT 2 }", "{ SELECT ?m (COUNT(?x) AS ?n) { ?m r:b ?x } GROUP BY ?m }", "SERVICE <http://x/> { ?m r:b ?x }"])
+def test_nothing_crosses_into_or_out_of(text):
+    t = patterns(f"SELECT * {{ ?p r:a ?m {text} }}")
+    assert all(names(i, t, [1 - i]) is None for i in range(len(t)))
+
+
+def test_branches():
+    t = patterns("SELECT * { { ?p r:a ?m } UNION { ?m r:b ?x } }")
+    assert names(1, t, [0]) is None and names(0, t, [1]) is None
+    t = patterns("SELECT * { ?p r:c ?q { ?p r:a ?m } UNION { ?p r:b ?x } }")
+    assert names(1, t, [0]) == names(2, t, [0]) == ["p"] and names(0, t, [1, 2]) is None
+
+
+def test_only_what_is_surely_bound_is_handed_on():
+    t = patterns("SELECT * { ?x r:a ?y OPTIONAL { ?y r:b ?z OPTIONAL { ?z r:c ?x } } }")
+    assert names(2, t, [0, 1]) == ["z"]
+    t = patterns("SELECT * { ?x r:a ?y OPTIONAL { ?y r:b ?z } OPTIONAL { ?z r:c ?w } }")
+    assert names(2, t, [0, 1]) is None  # ?z may be unbound, and then anything matches
+    t = patterns("SELECT * { ?x r:a ?y OPTIONAL { ?x r:b ?z FILTER EXISTS { ?z r:c ?y } } }")
+    assert names(2, t, [0, 1]) == ["y", "z"]
+
+
+def test_what_is_not_linked_takes_no_part():
+    t = patterns("SELECT * { ?a r:a ?b . ?c r:b ?d . ?d r:c ?e }")
+    assert narrowing(2, t, [0, 1])[0].members == [1]
+    assert order(t, [5, 9, 1]) == [2, 1, 0]
 
 
 def test_paths_and_repeats_are_not_narrowed():
-    t = path_support(patterns("SELECT * { ?a ex:a ?b . ?b ex:k+ ?c }"))
-    assert [p.support for p in t] == [False, False, True] and restriction(1, t, [0]) is None and restriction(2, t, [0]) is None
-    t = patterns("SELECT * { ?a ex:a ?b { ?b ex:b ?c } UNION { ?b ex:b ?c } }")
-    assert restriction(1, t, [0]) is None
-    assert not any(p.p == "SERVICE" for p in patterns("SELECT * { ?a ex:a ?b SERVICE <http://x/> { ?b ex:z ?c } }")[1:])
+    t = with_path_support(patterns("SELECT * { ?a r:a ?b . ?b r:k+ ?c }"))
+    assert [p.support for p in t] == [False, False, True] and names(1, t, [0]) is None and names(2, t, [0]) is None
+    t = patterns("SELECT * { ?a r:a ?b { ?b r:b ?c } UNION { ?b r:b ?c } }")
+    assert names(1, t, [0]) is None
+
+
+def test_paths_narrow_once_their_predicates_are_there(spark, whole):
+    """The seats of trains that get to stop 5 are asked for; those of others are not fetched."""
+    found = harvest(spark, PRE + QUERIES["path_narrows"], [DatasetSource(whole, "x", Config.of(page_size=2))])
+    by_pattern = {p.pattern: p for p in found[0].stats.patterns}
+    seats = next(p for name, p in by_pattern.items() if "seats" in name)
+    assert seats.decision == "bind" and 0 < seats.triples < seats.bindings < 40
+    # a path of no steps connects anything with itself, so it narrows nothing
+    found = harvest(spark, PRE + "SELECT * { ?train r:stopsAt? ?x . ?train r:seats ?n }", [DatasetSource(whole, "x")])
+    assert next(p for p in found[0].stats.patterns if "seats" in p.pattern).decision == "full"
 
 
 def test_open_source(spark, tmp_path):
-    (tmp_path / "d.nt").write_text(f"<{EX}a> <{EX}p> <{EX}b> .\nrubbish\n")
-    q = f"SELECT * {{ ?s <{EX}p> ?o }}"
+    (tmp_path / "d.nt").write_text(f"<{NS}a> <{NS}p> <{NS}b> .\nrubbish\n")
+    q = f"SELECT * {{ ?s <{NS}p> ?o }}"
     for spec in (str(tmp_path / "d.nt"), {"type": "dump", "path": str(tmp_path / "d.nt")}, f"dump:{tmp_path}/d.nt"):
-        assert answer(spark, q, [spec])[0].count() == 1
+        got, found = answer(spark, q, [spec])
+        assert got.count() == 1 and found[0].stats.triples_dropped == 1 and found[0].stats.declared_incomplete
     with pytest.raises(ValueError):
         open_source(spark, {"type": "nonsense", "url": "http://x"})
     with pytest.raises(ValueError):
         Config.of(nonsense=1)
     assert parse(q).form == "select"
+
+
+def test_dump_that_cannot_be_read_is_declared(spark, tmp_path):
+    (tmp_path / "bad.ttl").write_text("this is {{{ no Turtle")
+    q = f"SELECT * {{ ?s <{NS}p> ?o }}"
+    for spec in (str(tmp_path / "missing.nt"), str(tmp_path / "bad.ttl"), "dump:http://127.0.0.1:9/none.nt"):
+        got, found = answer(spark, q, [{"type": "dump", "path": spec.removeprefix("dump:")}], Config.of(retries=0, timeout=2.0))
+        assert got.count() == 0 and found[0].stats.declared_incomplete, spec
+        assert found[0].stats.decisions() in (["unreachable"], ["empty"]) and found[0].stats.errors + found[0].stats.triples_dropped >= 1

@@ -13,7 +13,7 @@ from tessera.plans.compile import evaluate
 from tessera.plans.harvest import answer
 from tessera.sources.dataset import QuadDataset
 from tessera.sources.remote import UNREACHABLE, Config, FragmentsSource, SparqlSource
-from tests.garden import P, QUERIES, quads
+from tests.railway import PRE, QUERIES, quads
 
 DATA = sorted({q[:3] for q in quads()})
 SCHEMA = "s string, p string, o string, g string"
@@ -83,27 +83,27 @@ def rows(df):
 
 
 @pytest.mark.parametrize("kind", [FragmentsSource, SparqlSource])
-@pytest.mark.parametrize("name", ["optional_nested", "minus", "repeated_variable", "literal_lang", "path_sequence"])
+@pytest.mark.parametrize("name", ["leftjoin_inside", "minus", "bgp_one_variable_twice", "bgp_tagged", "path_steps"])
 def test_remote_is_complete(spark, server, kind, name):
     whole = QuadDataset(spark.createDataFrame([(*t, None) for t in DATA], SCHEMA))
-    got, found = answer(spark, P + QUERIES[name], [kind(spark, server, Config.of(values_block=7, retries=0))])
-    assert rows(got) == rows(evaluate(P + QUERIES[name], whole)) and not found[0].stats.declared_incomplete
+    got, found = answer(spark, PRE + QUERIES[name], [kind(spark, server, Config.of(values_block=7, retries=0))])
+    assert rows(got) == rows(evaluate(PRE + QUERIES[name], whole)) and not found[0].stats.declared_incomplete
 
 
 def test_unreachable_is_declared(spark):
     for kind in (FragmentsSource, SparqlSource):
-        _, found = answer(spark, P + QUERIES["chain"], [kind(spark, "http://127.0.0.1:9/", Config.of(retries=0, timeout=2.0))])
+        _, found = answer(spark, PRE + QUERIES["bgp"], [kind(spark, "http://127.0.0.1:9/", Config.of(retries=0, timeout=2.0))])
         assert found[0].stats.decisions() == ["unreachable"] * 2 and found[0].stats.declared_incomplete
         assert found[0].stats.patterns[0].estimate == UNREACHABLE
 
 
 def test_page_of_dropped_statements_doesnt_end_the_walk(monkeypatch):
     from tessera.plans.algebra import Var
-    from tessera.plans.scopes import Pattern
+    from tessera.plans.demand import Pattern
     from tessera.sources import remote
 
     t = ("<urn:s>", "<urn:p>", "<urn:o>")
     pages = {"http://f/": remote.Page([], 3, 2, "http://f/?page=2", True, 2), "http://f/?page=2": remote.Page([t], 3, 2, None, True, 0)}
-    monkeypatch.setattr(remote, "read_page", lambda url, config: pages[url])
-    got = list(FragmentsSource(None, "http://f/", Config()).answer(Pattern(Var("s"), Var("p"), Var("o")), [{}]))
-    assert got == [(None, None, None, False, 2), (*t, False, 0)]
+    monkeypatch.setattr(remote, "read_page", lambda url, config, meter: pages[url])
+    got = list(FragmentsSource(None, "http://f/", Config()).answer(Pattern(Var("s"), Var("p"), Var("o")), [{}], remote.Meter()))
+    assert got == [(None, None, None, False, 2, 0, 1, 0, 0), (*t, False, 0, 0, 0, 0, 0)]
