@@ -197,7 +197,10 @@ def _numbers(a: Value, b: Value, how: Callable[[Column, Column], Column]) -> Col
 def compare(op: str, a: Value, b: Value) -> Column:
     how = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
     if a.numeric and b.numeric:
-        return _numbers(a, b, how)
+        found = _numbers(a, b, how)
+        for v in (a, b):  # to Spark, NaN is above all numbers; it is comparable with none
+            found = found & ~F.isnan(as_number(v).cast("double")) if v.kind.name in ("double", "float") else found
+        return found
     if a.kind == b.kind and a.kind in (STRING, DATETIME, BOOLEAN):
         return how(a.col, b.col)
     out: Column | None = None
@@ -404,7 +407,9 @@ class Evaluator:
     _f_uri = _f_iri
 
     def _f_bnode(self, *a):
-        return Value(F.concat(F.lit("_:"), F.md5(as_string(a[0])) if a else F.replace(F.uuid(), F.lit("-"), F.lit(""))), TERM)
+        """With a label: the same node wherever a solution has that label, another in each solution."""
+        row = F.concat(F.lit("|"), F.monotonically_increasing_id().cast("string"))
+        return Value(F.concat(F.lit("_:b"), F.md5(F.concat(as_string(a[0]), row)) if a else F.replace(F.uuid(), F.lit("-"), F.lit(""))), TERM)
 
     def _f_strdt(self, a, b):
         kind = T.text(as_term(b))

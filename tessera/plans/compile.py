@@ -16,6 +16,7 @@ from tessera.functions.scalar import NUMBER, Evaluator, Unsupported, Value, as_n
 from tessera.functions.scalar import as_term as value_term
 from tessera.operators.paths import path_plan
 from tessera.operators.solutions import Plan, col_of, join, left_join, minus, name_of, nothing, semi_join, union, unit
+from tessera.operators.tables import written
 from tessera.plans import algebra as A
 from tessera.plans.parser import parse
 from tessera.sources.dataset import Dataset
@@ -145,11 +146,36 @@ class Compiler:
             outer.append(body.condition)
             body = body.body
         inner = self(body, graph)
+        if len(outer) == 1 and (reduced := self._extreme(plan, inner, outer[0])) is not None:
+            inner = reduced
         condition = None
         if outer:
             condition = lambda value: reduce(lambda a, b: a & b, [Evaluator(value).condition(c) for c in outer])
         return semi_join(plan, inner, e.op == "not exists", condition)
 
+    def _extreme(self, plan: Plan, inner: Plan, e: A.Expr) -> Plan | None:
+        """Where a test has one comparison of an outer with an inner variable, the least or greatest
+        inner value of each key tells: so a common key has one row there, not one for each pair."""
+        if e.op not in ("<", "<=", ">", ">=") or any(a.op != "var" for a in e.args):
+            return None
+        (x, y), names = (a.args[0] for a in e.args), set(plan.kinds) & set(inner.kinds)
+        turned = x in inner.kinds
+        far, near = (x, y) if turned else (y, x)
+        if far in names or near in inner.kinds or near not in plan.kinds or far not in inner.certain:
+            return None
+        if not names <= plan.certain & inner.certain or any(plan.kinds[v] != inner.kinds[v] for v in names):
+            return None
+        kind = inner.kinds[far]
+        if kind != plan.kinds[near] or kind not in (T.INTEGER, T.DOUBLE, T.DATETIME):
+            return None
+        value = col_of(far)
+        rows = inner.df.where(~F.isnan(value)) if kind == T.DOUBLE else inner.df
+        # far < near asks for the least far, near < far for the greatest
+        best = (F.min if (e.op in ("<", "<=")) == turned else F.max)(value).alias(name_of(far))
+        keys = [col_of(v) for v in sorted(names)]
+        df = rows.groupBy(*keys).agg(best) if keys else rows.agg(best).where(col_of(far).isNotNull())
+        return Plan(df, {v: inner.kinds[v] for v in (*sorted(names), far)}, {*names, far})
+
     def _extend(self, node: A.Extend, graph: str | None) -> Plan:
         plan = self(node.body, graph)
         if A.exists_bodies(node.value):
@@ -318,19 +344,25 @@ def _describe(q: A.Query, plan: Plan, dataset: Dataset) -> DataFrame:
     """Concise bounded descriptions: the triples of each resource, and those of the blank nodes
     they lead to."""
     spark: SparkSession = dataset.spark
-    named = [t for t in q.described if not isinstance(t, A.Var)]
-    wanted = spark.createDataFrame([(t,) for t in named], "n string")
-    for v in q.described:
-        if isinstance(v, A.Var) and v in plan.kinds:
-            wanted = wanted.union(plan.df.select(value_term(plan.value(v)).alias("n")))
-    wanted = wanted.where("n is not null").distinct()
+    named = [t for t in dict.fromkeys(q.described) if not isinstance(t, A.Var)]
+    asked = [value_term(plan.value(v)) for v in q.described if isinstance(v, A.Var) and v in plan.kinds]
     every = dataset.match(A.Triple(A.Var("s"), A.Var("p"), A.Var("o")))
-    triples = every.with_kinds({v: TERM for v in every.kinds}).df
-    out, seen = None, wanted
+    triples = every.with_kinds({v: TERM for v in every.kinds}).df.select("s", "p", "o")
+    parts = []
+    for t in named:  # constants reach the scan
+        own = dataset.match(A.Triple(t, A.Var("p"), A.Var("o")))
+        parts.append(own.with_kinds({v: TERM for v in own.kinds}).df.select(F.lit(t).alias("s"), "p", "o"))
+    found = [spark.createDataFrame([(t,) for t in named], "n string")]
+    if asked:
+        wanted = reduce(DataFrame.union, [plan.df.select(c.alias("n")) for c in asked]).where("n is not null").distinct()
+        found.append(written(wanted, "described"))
+        parts.append(triples.join(found[-1].withColumnRenamed("n", "s"), "s", "left_semi"))
+    step = written(reduce(DataFrame.union, parts), "described") if parts else triples.limit(0)
+    seen, out = reduce(DataFrame.union, found), step
     while True:
-        found = triples.join(wanted.withColumnRenamed("n", "s"), "s", "left_semi").select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
-        out = found if out is None else out.union(found)
-        wanted = found.where(F.col("object").startswith("_:")).select(F.col("object").alias("n")).distinct().join(seen, "n", "left_anti")
-        if wanted.isEmpty():
-            return out.distinct()
-        seen = seen.union(wanted)
+        further = step.where(F.col("o").startswith("_:")).select(F.col("o").alias("n")).distinct()
+        further = written(further.join(seen, "n", "left_anti"), "described")
+        if further.isEmpty():
+            return out.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object")).distinct()
+        step = written(triples.join(further.withColumnRenamed("n", "s"), "s", "left_semi"), "described")
+        out, seen = out.union(step), seen.union(further)

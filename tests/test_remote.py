@@ -48,6 +48,8 @@ class Handler(BaseHTTPRequestHandler):
 
     def do_POST(self):
         query = parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+        if query.startswith("ASK") or "DISTINCT ?c" in query or "DISTINCT ?p" in query:
+            return self.explore(query)
         given = re.search(r"VALUES \(([^)]*)\) \{ (.*?) \} \{", query)
         names = re.findall(r"\?(\w+)", given[1]) if given else []
         tokens = re.findall(TOKEN, given[2]) if given else []
@@ -70,9 +72,19 @@ class Handler(BaseHTTPRequestHandler):
         self.send(json.dumps({"head": {}, "results": {"bindings": rows}}), "application/sparql-results+json")
 
 
+    def explore(self, query):
+        """Questions about classes, answered by this engine itself."""
+        found = evaluate(query, QuadDataset(self.server.spark.createDataFrame(quads(), SCHEMA), merged=False))
+        if query.startswith("ASK"):
+            return self.send(json.dumps({"head": {}, "boolean": found.first()[0]}), "application/sparql-results+json")
+        cells = [{k: dict(zip(("type", "value"), T.parts(v)[:2], strict=True)) for k, v in r.asDict().items() if v is not None} for r in found.collect()]
+        self.send(json.dumps({"head": {}, "results": {"bindings": cells}}), "application/sparql-results+json")
+
+
 @pytest.fixture(scope="module")
-def server():
+def server(spark):
     s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    s.spark = spark
     threading.Thread(target=s.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{s.server_port}/"
     s.shutdown()
@@ -107,3 +119,74 @@ def test_page_of_dropped_statements_doesnt_end_the_walk(monkeypatch):
     monkeypatch.setattr(remote, "read_page", lambda url, config, meter: pages[url])
     got = list(FragmentsSource(None, "http://f/", Config()).answer(Pattern(Var("s"), Var("p"), Var("o")), [{}], remote.Meter()))
     assert got == [(None, None, None, False, 2, 0, 1, 0, 0), (*t, False, 0, 0, 0, 0, 0)]
+
+
+def test_index_of_services(spark, server, tmp_path):
+    """An endpoint, a fragments server, a dump and a table have the same shapes; what can't be read is told."""
+    from tessera.operators.indexing import Unindexed, index_source, index_sources, mode_of
+    from tessera.operators.shapes import index
+
+    table = spark.createDataFrame(quads(), SCHEMA)
+    want = {(r.a, r.p, r.b) for r in index(table, "x").collect()}
+    config = Config.of(retries=0, timeout=60.0, page_size=PAGE, concurrent_requests=1)  # the server needs tasks of its own
+    (tmp_path / "rail.nq").write_text("\n".join(" ".join(map(T.nt, filter(None, q))) + " ." for q in quads()))
+    specs = [SparqlSource(spark, server, config), FragmentsSource(spark, server, config), QuadDataset(table), f"dump:{tmp_path}/rail.nq", "sparql:http://127.0.0.1:9/", f"dump:{tmp_path}/none.nq", "fragments:http://127.0.0.1:9/"]
+    shapes, failed = index_sources(spark, specs, Config.of(retries=0, timeout=60.0))
+    found = {}
+    for r in shapes.collect():
+        found.setdefault(r.source, []).append((r.a, r.p, r.b, r.g))
+    assert len(found) == 3 and set(failed) == {"http://127.0.0.1:9/", f"file://{tmp_path}/none.nq"}  # two services at one address
+    assert all({x[:3] for x in rows} == want for rows in found.values())
+    endpoint = index_source(SparqlSource(spark, server, config))
+    assert {r.g for r in endpoint.where(f"p = 'http://rail.test/image'").collect()} == {"http://rail.test/graphs/images"}
+    assert mode_of(SparqlSource(spark, server, config)) == "mixed" and mode_of(SparqlSource(spark, "http://127.0.0.1:9/", Config.of(retries=0, timeout=2.0))) == "default"
+    with pytest.raises(Unindexed):
+        index_source(SparqlSource(spark, "http://127.0.0.1:9/", Config.of(retries=0, timeout=2.0)))
+    with pytest.raises(ValueError):
+        index_sources(spark, [{"type": "nonsense", "url": "http://x"}])
+
+
+def test_requests_and_pages_are_counted(spark, server):
+    config = Config.of(values_block=7, retries=0)
+    _, found = answer(spark, PRE + QUERIES["leftjoin_inside"], [FragmentsSource(spark, server, config)])
+    stats = found[0].stats
+    assert stats.pages == stats.requests > 3 and stats.bytes > 1000 and set(stats.phases) == {"count", "fetch"}
+    # pages that were read for the counts need not be read again by the same worker
+    source = FragmentsSource(spark, server, config)
+    from tessera.plans.demand import decompose
+    from tessera.sources.remote import Meter
+
+    p, meter = decompose(PRE + QUERIES["bgp"])[0], Meter()
+    list(source.answer(p, [{}], meter))
+    first = meter.pages
+    list(source.answer(p, [{}], meter))
+    assert meter.pages == first > 1 and meter.cache_hits == first
+
+
+def test_repaired_iris_are_asked_for_as_they_were_spelled(spark, monkeypatch):
+    """A server with IRIs that none may have: they are repaired, and its fragments found all the same."""
+    from tessera.sources import remote
+
+    strange = f"<http://x/a b|{{c}}>"
+    rows = [(f"<http://x/s{i}>", "<http://x/p>", strange if i % 2 else "<http://x/plain>") for i in range(6)] + [(strange, "<http://x/q>", '"found"'), ("<http://x/plain>", "<http://x/q>", '"plain"')] + [(f"<http://x/z{i}>", "<http://x/q>", '"other"') for i in range(300)]
+
+    class Strange(BaseHTTPRequestHandler):
+        log_message, send = Handler.log_message, Handler.send
+
+        def do_GET(self):
+            args = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            want = [args.get(k) for k in ("subject", "predicate", "object")]
+            hits = [t for t in rows if all(w is None or x in (w, f"<{w}>") for w, x in zip(want, t, strict=True))]
+            own = f"<http://{self.headers['Host']}{self.path}>"
+            lines = [" ".join(t) + " ." for t in hits] + [f'{own} <{HYDRA}totalItems> "{len(hits)}" <http://m/#metadata> .', f'{own} <{HYDRA}itemsPerPage> "2" <http://m/#metadata> .']
+            self.send("\n".join(lines), "application/n-quads")
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Strange)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    try:
+        got, found = answer(spark, "SELECT * { ?s <http://x/p> ?o . ?o <http://x/q> ?v }", [FragmentsSource(spark, f"http://127.0.0.1:{s.server_port}/", Config.of(retries=0, values_block=1))])
+        assert found[0].stats.decisions() == ["full", "bind"] and found[0].stats.iris_rewritten == 2  # the one IRI, in either fetch
+        assert sorted({(r.o, r.v) for r in got.collect()}) == [("<http://x/a%20b%7C%7Bc%7D>", '"found"'), ("<http://x/plain>", '"plain"')]
+    finally:
+        s.shutdown()
+    assert remote.repaired("http://x/a b") == "http://x/a%20b"
