@@ -1,12 +1,13 @@
 """Embedding near-duplicates: hierarchical navigable small-world graphs, one per shard.
 
 Vectors of one label are spread over shards of a bounded size by hash. Each shard's graph is
-built once (layers by geometric levels, links chosen for diversity) and written down; every pair
-of shards of a label is one task, which searches one shard's graph for the other's vectors, all
-queries in step. A query whose beam is full of links gets a wider one; some queries of each task
-are audited by brute force, and while the audit finds a link missed, all beams are widened. A beam as
-wide as the shard is a plain scan, so widening ends in exact results. Links found are verified by
-cosine in double precision. A task hands on, per vector, how many vectors it links with and the
+built once (layers by geometric levels, links chosen for diversity) and written down. Shards of a label
+make up tiles, every two tiles of a label are one task, and each shard there is searched for each other's
+vectors, all queries in step; so a shard is sent once per tile, not once per shard. Before that, some of
+the queries and some vectors near the shard's own are audited by brute force, and as long as the graph
+misses one link in a thousand of theirs, beams are widened. A query whose beam is full of links gets a
+wider one by itself, up to WIDEST, and then a scan of the shard; beams as wide as the shard are a scan too,
+so widening ends in exact results. Links found are verified by cosine in double precision. A task hands on, per vector, how many vectors it links with and the
 smallest member of its component there; these are united over all tasks.
 """
 
@@ -23,6 +24,10 @@ from tessera.llm.simhash import _forest
 #: Vectors aimed at in a shard; links of a node above layer 0 (twice as many there).
 SHARD, M, BUILD_BEAM, BEAM, AUDIT, RECALL = 4096, 12, 48, 24, 96, 0.999
 CHUNK = 512
+#: Beams up to this wide are tried; a query that needs more is compared with all of the shard.
+WIDEST = 16 * BEAM
+#: Shards of a tile at most, and bytes of its vectors: a task compares two tiles, shard by shard.
+TILE, TILE_BYTES = 8, 32 << 20
 #: Single precision's error, by which candidates may fall below the threshold before verification.
 SLACK = 1e-5
 
@@ -157,59 +162,78 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine of at least threshold; x, q in double precision. own: q is
-    x, and the pairs are each given once, without those of a vector with itself."""
+def _found(graph: Graph, q: np.ndarray, width: int, low: np.float32, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, nodes) that beams give from low on, and the queries whose beams were full of links
+    up to the widest: those need a scan."""
+    found, full = [np.zeros((2, 0), dtype=np.int64)], [np.array([], dtype=np.int64)]
+    for a in range(0, len(q), CHUNK):
+        rows, w = np.arange(a, min(a + CHUNK, len(q))), width
+        while len(rows):
+            ids, sims = graph.search(q[rows], w, None if start is None else start[rows])
+            hit = sims >= low
+            more = hit.all(axis=1)
+            r, c = np.nonzero(hit & ~more[:, None])
+            found.append(np.array([rows[r], ids[r, c]], dtype=np.int64))
+            rows, w = rows[more], w * 4
+            if w >= min(len(graph.x), WIDEST):
+                full.append(rows)
+                break
+    i, j = np.concatenate(found, axis=1)
+    return i, j, np.concatenate(full)
+
+
+def probes(x: np.ndarray, q: np.ndarray, threshold: float, seed: int = 3) -> np.ndarray:
+    """What an audit asks for: some of the queries, and as many of x's own vectors turned by half
+    of the angle that links allow, so that there are links to find whatever the queries are."""
+    some = q[np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)]
+    own = x[np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int)]
+    away = np.random.default_rng(seed).normal(size=own.shape)
+    away -= np.einsum("nd,nd->n", away, own)[:, None] * own
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    angle = np.arccos(min(1.0, max(-1.0, threshold))) / 2
+    turned = own * np.cos(angle) + np.sin(angle) * away / np.where(size > 0, size, 1)
+    return np.concatenate([some, turned]).astype(np.float32)
+
+
+def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, own: bool) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Pairs (query, node) with cosine of at least threshold, and how many of the audit's links were
+    found, of how many; x, q in double precision. own: q is x, and the pairs are each given once,
+    without those of a vector with itself."""
     n, low = len(x), np.float32(threshold - SLACK)
     q32 = q.astype(np.float32)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    width = min(BEAM, n)
-    audit = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = q32[audit] @ graph.x.T >= low
+    asked = probes(x, q, threshold)
+    truth = (asked @ graph.x.T >= low).sum(axis=1)
+    width, seen = min(BEAM, n), int(truth.sum())
+    i = j = np.array([], dtype=np.int64)
+    full = np.arange(len(q))
     while width < n:
-        found, full = [], []
-        for a in range(0, len(q), CHUNK):
-            rows = np.arange(a, min(a + CHUNK, len(q)))
-            w = width
-            while len(rows):
-                ids, sims = graph.search(q32[rows], w, rows if own else None)
-                hit = sims >= low
-                more = hit.all(axis=1)
-                r, c = np.nonzero(hit & ~more[:, None])
-                found.append((rows[r], ids[r, c]))
-                rows, w = rows[more], w * 4
-                if w >= min(n, 16 * BEAM):
-                    full.append(rows)
-                    break
-        i, j = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
-        full_rows = np.concatenate([np.array([], dtype=int), *full])
-        hits = np.zeros(len(q), dtype=int)
-        np.add.at(hits, i, 1)
-        checked = ~np.isin(audit, full_rows)
-        if hits[audit[checked]].sum() >= RECALL * truth[checked].sum():
+        hits, _, scanned = _found(graph, asked, width, low, None)
+        got = np.bincount(hits, minlength=len(asked))
+        got[scanned] = truth[scanned]
+        if got.sum() >= RECALL * truth.sum():
+            seen = int(got.sum())
+            i, j, full = _found(graph, q32, width, low, np.arange(n) if own else None)
             break
         width = min(n, width * 4)
-    else:
-        i = j = np.array([], dtype=np.int64)
-        full_rows = np.arange(len(q))
     near = np.einsum("nd,nd->n", q[i], x[j]) >= threshold
     pairs = [(i[near], j[near])]
-    for a in range(0, len(full_rows), CHUNK):  # beams as wide as the shard
-        r, c = np.nonzero(q[full_rows[a : a + CHUNK]] @ x.T >= threshold)
-        pairs.append((full_rows[a + r], c))
+    for a in range(0, len(full), CHUNK):  # beams as wide as the shard
+        r, c = np.nonzero(q[full[a : a + CHUNK]] @ x.T >= threshold)
+        pairs.append((full[a + r], c))
     i, j = (np.concatenate([p[k] for p in pairs]).astype(np.int64) for k in (0, 1))
     if own:
         i, j = np.minimum(i, j), np.maximum(i, j)
         key = np.unique(i[i < j] * n + j[i < j])
         i, j = key // n, key % n
-    return i, j
+    return i, j, seen, int(truth.sum())
 
 
 _SHARD = "label {}, dim int, shard int, shards int, ids binary, copies binary, vectors binary, links binary, layers int, entry int"
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, size: int = SHARD, embedding: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
+    """(vec_id, n_links, component_id, kept, audit_recall) for every row of vectors (vec_id, embedding,
+    label). audit_recall: the share of all audits' links that the graphs gave, over all tasks.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, and those without a
     label or an id, link with nothing: n_links 0, their own component. So do vectors of different
@@ -240,42 +264,57 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, size: int = SHA
 
     shards = dealt.select("label", "dim", "shard", "shards", "node", "copies", "v").groupBy("label", "dim", "shard").applyInArrow(build, _SHARD.format(kind))
     shards = stash(shards, "shards")
-    other = shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    pairs = other.withColumns({"a": F.least("shard", "other"), "b": F.greatest("shard", "other")})
+    in_tile = F.greatest(F.lit(1), F.least(F.lit(TILE), F.ceil(F.col("shards") / 16), F.floor(TILE_BYTES / (8 * size * F.col("dim"))))).cast("int")
+    dealt = shards.withColumn("in_tile", in_tile).withColumn("tile", F.floor(F.col("shard") / F.col("in_tile")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / F.col("in_tile")).cast("int"))))
+    pairs = other.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
 
-    def link(t: pa.Table) -> pa.Table:
-        none = pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        sides = sorted(t.to_pylist(), key=lambda r: r["shard"])
-        if sides[0]["a"] != sides[0]["b"] and len(sides) < 2:
-            return none  # no vector fell into the other shard
-        parts = []
-        for r in (sides[0], sides[-1]):
-            ids, copies = (np.frombuffer(r[c], dtype=np.int64) for c in ("ids", "copies"))
-            parts.append((ids, copies, unit(np.frombuffer(r["vectors"]).reshape(-1, r["dim"]))))
-        r, (ids, copies, x), (q_ids, q_copies, q) = sides[0], parts[0], parts[1]
+    def opened(r: dict) -> tuple:
+        """(ids, copies, unit vectors, graph) of a shard."""
+        ids, copies = (np.frombuffer(r[c], dtype=np.int64) for c in ("ids", "copies"))
+        x = unit(np.frombuffer(r["vectors"]).reshape(-1, r["dim"]))
         flat, n, layers, at = np.frombuffer(r["links"], dtype=np.int32), len(ids), [], 0
         for k in range(r["layers"]):
             width = M if k else 2 * M
             layers.append(flat[at : at + n * width].reshape(n, width))
             at += n * width
-        own = r["a"] == r["b"]
-        i, j = linked(Graph(x.astype(np.float32), layers, r["entry"]), x, q, threshold, own)
-        a, b = q_ids[i], ids[j]
+        return ids, copies, x, Graph(x.astype(np.float32), layers, r["entry"])
+
+    def link(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["shard"])
+        held = [opened(r) for r in rows]
+        one = rows[0]["a"] == rows[0]["b"]
+        parts, asked, seen = [], 0, 0
+        for u in range(len(rows)):
+            for v in range(u, len(rows)):
+                if not one and (rows[u]["tile"] == rows[v]["tile"]):
+                    continue  # another task's
+                (ids, copies, x, graph), (q_ids, q_copies, q, _) = held[u], held[v]
+                i, j, found, there = linked(graph, x, q, threshold, u == v)
+                parts.append((q_ids[i], ids[j], q_copies[i], copies[j]))
+                seen, asked = seen + found, asked + there
+        told = pa.table({"node": pa.array([None], pa.int64()), "n": pa.array([seen], pa.int64()), "root": pa.array([asked], pa.int64())})
+        a, b, a_copies, b_copies = (np.concatenate([np.array([], dtype=np.int64), *(p[k] for p in parts)]) for k in range(4))
         nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
         if not len(nodes):
-            return none
-        count = np.bincount(inverse, np.concatenate([copies[j], q_copies[i]]), len(nodes)).astype(np.int64)
+            return told
+        count = np.zeros(len(nodes), dtype=np.int64)
+        np.add.at(count, inverse, np.concatenate([b_copies, a_copies]))
         root = nodes.copy()
         child, low = _forest(a.view(np.uint64) ^ np.uint64(1 << 63), b.view(np.uint64) ^ np.uint64(1 << 63))
         root[np.searchsorted(nodes, (child ^ np.uint64(1 << 63)).view(np.int64))] = (low ^ np.uint64(1 << 63)).view(np.int64)
-        return pa.table({"node": nodes, "n": count, "root": root})
+        return pa.concat_tables([pa.table({"node": nodes, "n": count, "root": root}), told])
 
-    pairs = pairs.select("label", "dim", "a", "b", "shard", "ids", "copies", "vectors", "links", "layers", "entry")
-    links = stash(pairs.groupBy("label", "dim", "a", "b").applyInArrow(link, "node long, n long, root long"), "links")
+    pairs = pairs.select("label", "dim", "a", "b", "tile", "shard", "ids", "copies", "vectors", "links", "layers", "entry")
+    made = stash(pairs.groupBy("label", "dim", "a", "b").applyInArrow(link, "node long, n long, root long"), "links")
+    links = made.where("node is not null")
+    seen, asked = made.where("node is null").agg(F.sum("n"), F.sum("root")).first()
     comp = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     n = links.groupBy("node").agg(F.sum("n").alias("n"))
     facts = nodes.join(n, "node", "left").join(comp, "node", "left")
     facts = facts.select("k", "label", "v", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(facts.drop("node"), ["k", "label", "v"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    good = rows.where("k is not null").join(facts.drop("node"), ["k", "label", "v"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("k is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = good.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    recall = F.lit(seen / asked if asked else None).cast("double")
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", recall)
