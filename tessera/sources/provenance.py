@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import os
 import re
-import urllib.request
 from collections.abc import Iterator
+from urllib.request import Request, urlopen
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,8 +119,8 @@ def post(quads: DataFrame, url: str, batch: int = 100_000, timeout: float = 60)
 
         def send() -> int:
             body = "\n".join(held).encode()
-            request = urllib.request.Request(url, body, {"Content-Type": "application/n-quads"})
-            with urllib.request.urlopen(request, timeout=timeout) as r:
+            request = Request(url, body, {"Content-Type": "application/n-quads"})
+            with urlopen(request, timeout=timeout) as r:
                 if r.status not in (200, 201, 204):
                     raise OSError(f"{url} answered {r.status}")
             n = len(held)
