@@ -5,6 +5,7 @@ They are SPARQL texts over the lifted tables; a result's columns are read as the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import as_number, as_text
 from tessera.operators.shapes import ANY, index, match_shapes, query_shapes
 from tessera.operators.solutions import col_of
-from tessera.operators.tables import written
+from tessera.operators.tables import shared_dir, written
 from tessera.plans.compile import evaluate, solve
-from tessera.plans.harvest import answer, harvest
-from tessera.plans.parser import parse
 from tessera.plans.demand import decompose
+from tessera.plans.harvest import answer, harvest, nanopub
+from tessera.plans.parser import parse
 from tessera.sources.dataset import Dataset, QuadDataset
 from tessera.sources.lift import NS, TABLES, dataset
-from tessera.sources.provenance import nanopublication
+from tessera.sources.provenance import evaluate_published, nanopublication, publish
 from tessera.sources.remote import DatasetSource
 
 PREFIX = f"PREFIX ex: <{NS}>\nPREFIX xsd: <http://www.w3.org/2001/XMLSchema#>\n"
@@ -320,6 +321,16 @@ QUERIES: dict[str, tuple[str, dict[str, str], str]] = {
         {"p": "key", "k": "string", "v": "long"},
         "SELECT p_partkey AS p, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS k, CAST(p_size AS BIGINT) AS v FROM part WHERE p_size IN (1, 3, 30)",
     ),
+    "sample_reduced": (
+        "SELECT REDUCED ?n (SAMPLE(?c) AS ?some) (COUNT(DISTINCT ?m) AS ?k) { ?s ex:inNation ?n ; ex:c_mktsegment ?m ; ex:c_custkey ?c } GROUP BY ?n",
+        {"n": "key", "some": "long", "k": "long"},
+        "SELECT CAST(c_nationkey AS BIGINT) AS n, min(c_custkey) AS some, count(DISTINCT c_mktsegment) AS k FROM customer GROUP BY 1",
+    ),
+    "more_fns": (
+        'SELECT ?o (xsd:double(SECONDS(?d)) AS ?s) (isBLANK(?o) AS ?b) (langMatches(LANG(STRLANG(?p, "en-GB")), "en") AS ?m) (langMatches("", "*") AS ?none) (xsd:double(xsd:decimal(?t)) AS ?c) (xsd:double(xsd:float("1.5")) AS ?f) (SUBSTR(?p, 3, 4) AS ?sub) (UCASE(?p) AS ?up) (YEAR(xsd:dateTime("2024-02-29T01:02:03Z")) AS ?y) { ?o ex:o_orderdate ?d ; ex:o_orderpriority ?p ; ex:o_totalprice ?t }',
+        {"o": "key", "s": "double", "b": "boolean", "m": "boolean", "none": "boolean", "c": "double", "f": "double", "sub": "string", "up": "string", "y": "long"},
+        "SELECT o_orderkey AS o, CAST(second(o_orderdate) AS DOUBLE) AS s, false AS b, true AS m, false AS none, o_totalprice AS c, 1.5::DOUBLE AS f, substr(o_orderpriority, 3, 4) AS sub, upper(o_orderpriority) AS up, 2024::BIGINT AS y FROM orders",
+    ),
     "term_fns": (
         'SELECT ?n (isIRI(?n) AS ?i) (isLiteral(?v) AS ?l) (isNumeric(?k) AS ?u) (STR(DATATYPE(?k)) AS ?d) (LANG(STRLANG(?v, "EN")) AS ?g) (STR(IRI(CONCAT("http://x/", ?v))) AS ?r) { ?n ex:n_name ?v ; ex:n_nationkey ?k }',
         {"n": "key", "i": "boolean", "l": "boolean", "u": "boolean", "d": "string", "g": "string", "r": "string"},
@@ -438,11 +449,19 @@ ASKED = {
 
 
 def provenance_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four graphs of a harvest's nanopublication, by size; times are in it, so no SQL."""
+    """The four graphs of a harvest's nanopublication, by size."""
     found = harvest(spark, PREFIX + HARVESTED, [DatasetSource(dataset(spark, sf_dir, ["region", "nation", "customer"]), "http://ex.org/source/1")])
     return nanopublication(found[0], "catalogue", 1).groupBy("g").agg(F.count("*").alias("n"))
 
 
+def published_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A harvest published as nanopublications, gathered again and asked."""
+    found = harvest(spark, PREFIX + HARVESTED, [DatasetSource(dataset(spark, sf_dir, ["region", "nation", "customer"]), "http://ex.org/source/1")])
+    paths = publish(found, "catalogue", f"{shared_dir(spark)}/published-{uuid.uuid4().hex}")
+    df = evaluate_published(spark, PREFIX + HARVESTED, paths)
+    return df.select(*[F.regexp_extract(c, r"(\d+)>$", 1).cast("long").alias(c) for c in ("c", "n")])
+
+
 _CLASS = {t: TABLES[t][0] for t in TABLES}
 _COLUMNS = {"region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props"}
 
@@ -506,7 +525,16 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
     "index_apb": (index_apb, _apb_sql()),
     "select_sources": (select_sources, _rules_sql()),
-    "provenance_patterns": (provenance_patterns, None),
+    "published_join": (
+        published_join,
+        "SELECT c_custkey AS c, CAST(n_nationkey AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2",
+    ),
+    "provenance_patterns": (
+        provenance_patterns,
+        # 12 quads about the harvest, and 4 about each of three patterns
+        "WITH n AS (SELECT * FROM nation WHERE n_regionkey = 2), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)) "
+        f"SELECT '<{nanopub('catalogue', 1)}#' || part || '>' AS g, n FROM (SELECT 'Head' AS part, 4::BIGINT AS n UNION ALL SELECT 'pubinfo', 3 UNION ALL SELECT 'provenance', 24 UNION ALL SELECT 'assertion', (SELECT count(*) FROM n) + 2 * (SELECT count(*) FROM c))",
+    ),
 }
 
 
