@@ -18,7 +18,6 @@ from tessera.operators.tables import shared_dir, written
 from tessera.plans.compile import evaluate, solve
 from tessera.plans.demand import decompose
 from tessera.plans.harvest import answer, harvest, nanopub
-from tessera.plans.parser import parse
 from tessera.sources.dataset import Dataset, QuadDataset
 from tessera.sources.lift import NS, TABLES, dataset
 from tessera.sources.provenance import evaluate_published, nanopublication, publish
