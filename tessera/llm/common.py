@@ -12,14 +12,18 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where
-    that is unset, as in tests) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir;
+    where that is unset, as in tests, a temporary one, if driver and executors are one machine. It is
+    deleted when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or tempfile.mkdtemp(prefix="tessera-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _own[app] = f"{(named or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/tessera-{app}"
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(_own[app])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return _own[app]
 
 
@@ -43,6 +47,25 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name, or a longer one that no column has, in whatever case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+#: Rows of whole texts that are handed to Python at once.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python gets at most BATCH rows at once, unless the session asks for fewer: a batch
+    is held several times over, on either side, and texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 #: Most labelled rows used for fitting: those with the smallest hashes of their ids.
 MAX_TRAIN = 20_000
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, MIN_ROWS = 32, 8, 8, 150, 60, 0.15, 4
@@ -181,6 +183,7 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Gam:
     """Fit on at most MAX_TRAIN labelled rows outside the held-out fold; null labels are ignored."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_TRAIN)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

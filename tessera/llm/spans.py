@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh, small_batches
+
 MIN_SENTENCES, MIN_WORDS = 2, 20
 _CUT = re.compile(r"\n\s*|(?<=[.!?…。！？])\s+|\s+(?=[A-ZÀ-ÖØ-Þ¿¡])")
 _CLAUSE = re.compile(r"(?<=[,;:，；：])\s+")
 #: Odd factors of the two hashes of a run: sums of its sentences' digests times powers.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Characters handled at once; a longer text is handled by itself.
-CHARS = 1 << 22
+CHARS = 1 << 20
 
 
 def sentences(text: str, words_least: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
@@ -132,13 +134,6 @@ def _listed(docs: DataFrame, text: str, sentences_least: int, words_least: int)
     return docs.select(_kid(body).alias("kid"), body.alias("text")).mapInArrow(work, "h1 long, h2 int, kid long, crc int, at long, again boolean")
 
 
-def _fresh(taken: list[str], name: str) -> str:
-    """name, or a longer one that no column has."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", sentences_least: int = MIN_SENTENCES, words_least: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated sentences cut out of `text`, and n_removed (characters) appended.
 
@@ -147,6 +142,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", sentences_least: int = M
     each text of theirs is a document; rows alike in id and text lose the same sentences. An empty
     table gives no rows; all other columns are kept, whatever their names (an existing n_removed is
     replaced)."""
+    small_batches(docs.sparkSession)
     listed = _listed(docs, text, sentences_least, words_least)
     # a document has each span once here, so that a hash of several rows is one of several documents
     many = listed.where("not again").groupBy("h1", "h2").agg(F.min("kid").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
@@ -154,7 +150,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", sentences_least: int = M
     cuts = later.groupBy("kid", "crc").agg(F.collect_list("at").alias("cuts"))
     docs = docs.drop("n_removed")
     names = list(docs.columns)
-    kid, crc, cut = (_fresh(names, n) for n in ("kid", "crc", "cuts"))
+    kid, crc, cut = (fresh(names, n) for n in ("kid", "crc", "cuts"))
     body = F.col(f"`{text}`").cast("string")
     rows = docs.withColumns({kid: _kid(body), crc: _key(body)}).join(cuts.toDF(kid, crc, cut), [kid, crc], "left").select(*[F.col(f"`{c}`") for c in names], cut)
     place = names.index(text)

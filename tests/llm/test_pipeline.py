@@ -14,7 +14,8 @@ def test_pipeline(spark):
     import corpus_pipeline
     from tessera.llm import gam, pii
     from tessera.llm.common import read
-    from tests.llm.test_pairs import brute_fingerprint, closure
+    from tests.llm.test_pairs import closure
+    from tests.llm.test_shingles import brute_links
     from tests.llm.test_texts import brute_spans
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "pii", "packing"]
@@ -36,12 +37,11 @@ def test_pipeline(spark):
     kept = {i: texts[i] for i, s in zip(ids, score, strict=True) if s >= 0.3}
     assert set(frames["quality"]) == set(kept) and len(kept) > 0.7 * len(texts)
 
-    fps = [(i, brute_fingerprint(t)) for i, t in kept.items()]
-    low = closure(kept, [(a, b) for n, (a, x) in enumerate(fps) for b, y in fps[n + 1 :] if bin(x ^ y).count("1") <= 2])
+    low = closure(kept, brute_links(list(kept.items())))
     kept = {i: t for i, t in kept.items() if low[i] == i}
     assert set(frames["near_dedup"]) == set(kept)
 
-    cut = brute_spans([(i, t, None) for i, t in kept.items()])
+    cut = brute_spans([(i, t, None) for i, t in kept.items()], 24)
     got = {i: r[0].text for i, r in frames["substring_dedup"].items()}
     assert got == {i: None if kept[i] is None else cut[i] for i in kept}
     assert all(r[0].n_chars == len(r[0].text) for r in frames["substring_dedup"].values() if r[0].text is not None)
