@@ -311,16 +311,39 @@ def candidates(text: Column, model: Model) -> Column:
     return F.filter(scored, lambda c: c["score"] >= F.get(least, c["kind"]))
 
 
+_HELD = "array<struct<start:bigint,end:bigint,kind:int,rank:double>>"
+
+
+def _clusters(held: Column) -> Column:
+    """Sorted spans in runs that overlap, so that spans are only compared with those near them."""
+    empty = F.struct(F.array().cast(f"array<{_HELD}>").alias("done"), F.array().cast(_HELD).alias("open"), F.lit(0).cast("long").alias("reach"))
+
+    def add(a: Column, s: Column) -> Column:
+        apart = (F.size(a["open"]) > 0) & (s["start"] >= a["reach"])
+        done = F.when(apart, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
+        own = F.when(apart, F.array(s)).otherwise(F.concat(a["open"], F.array(s)))
+        return F.struct(done.alias("done"), own.alias("open"), F.greatest(a["reach"], s["end"]).alias("reach"))
+
+    return F.aggregate(held, empty, add, lambda a: F.concat(a["done"], F.array(a["open"])))
+
+
 def all_spans(text: Column, base: Column, model: Model) -> Column:
     """The base spans with the candidates chosen, best first, that overlap nothing chosen."""
     over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    with_rank = lambda s, rank: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), rank.cast("double").alias("rank"))
+
+    def choose(cluster: Column) -> Column:
+        sure = F.transform(F.filter(cluster, lambda s: s["rank"].isNull()), plain)
+        maybe = F.array_sort(F.transform(F.filter(cluster, lambda s: s["rank"].isNotNull()), lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+        best = F.aggregate(maybe, sure, lambda a, c: F.when(F.exists(a, lambda b: over(b, c)), a).otherwise(F.concat(a, F.array(plain(c)))))
+        return F.when(F.size(cluster) == 1, F.transform(cluster, plain)).otherwise(best)
 
-    def choose(found: Column) -> Column:
-        ranked = F.array_sort(F.array_distinct(F.transform(found, lambda c: F.struct((-c["score"]).alias("rank"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))
-        take = lambda c: F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-        return F.aggregate(ranked, base, lambda a, c: F.when(F.exists(a, lambda b: over(b, c)), a).otherwise(F.concat(a, take(c))))
+    def together(found: Column) -> Column:
+        held = F.concat(F.transform(base, lambda s: with_rank(s, F.lit(None))), F.array_distinct(F.transform(found, lambda c: with_rank(c, -c["score"]))))
+        return _let(_clusters(F.array_sort(held)), lambda runs: F.array_sort(F.flatten(F.transform(runs, choose))))
 
-    return _let(candidates(text, model), lambda found: F.when(F.size(found) > 0, F.array_sort(choose(found))).otherwise(base))
+    return _let(candidates(text, model), lambda found: F.when(F.size(found) > 0, together(found)).otherwise(base))
 
 
 def _named(spans: Column) -> Column:
