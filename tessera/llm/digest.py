@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stash
 
-#: Rows aimed at in a bucket of neighbouring ids, and most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 20
+#: Rows aimed at in a bucket of neighbouring ids; parts that ids, and then each part, are cut into.
+BUCKET_ROWS, PARTS = 4096, 256
 
 
 def canonical(text: Column) -> Column:
@@ -50,9 +50,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return stash(rows.select("doc_id", "kid", "th", F.length("text").cast("long").alias("n_chars"), f1.alias("f1"), f2.alias("f2")), "digests")
 
 
-def collisions(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame | None:
+def collisions(docs: DataFrame, prints: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame] | None:
     """(kid, th, number): the documents whose canonical bytes differ from those of the first form
-    in their bucket; None if there are none. Only buckets of several documents are compared."""
+    in their bucket, and (f1, f2, form, number) of these forms; None if there are none. Only buckets
+    of several documents are compared."""
     keys = prints.select("kid", "th", "f1", "f2").distinct()
     many = keys.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
     members = _keyed(docs, text).drop("doc_id").join(keys.join(many, ["f1", "f2"], "left_semi"), ["kid", "th"]).withColumn("form", canonical(F.col("text")))
@@ -62,22 +63,30 @@ def collisions(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFr
     clash = members.join(forms.select("f1", "f2"), ["f1", "f2"], "left_semi")
     lows = clash.groupBy("f1", "f2", "form").agg(F.min("kid").alias("low"))
     lows = lows.withColumn("number", F.row_number().over(Window.partitionBy("f1", "f2").orderBy("low", "form")) - 1)
-    return clash.join(lows, ["f1", "f2", "form"]).where("number > 0").select("kid", "th", "number").distinct()
+    lows = stash(lows.where("number > 0").select("f1", "f2", "form", "number"), "forms")
+    return clash.join(lows, ["f1", "f2", "form"]).select("kid", "th", "number").distinct(), lows
 
 
 def neighbours(prints: DataFrame) -> DataFrame:
     """For each different (kid, th): next_kid, next_th, next_f1, next_f2 of the next document in
-    descending order of id, the first after the last. One bucket of ids is one window group."""
+    descending order of id, the first after the last. One bucket of ids is one window group: ids are
+    cut at percentiles, and where there are many, each part at percentiles of its own, so buckets
+    are even however ids are spread; null ids are cut by th."""
     keys = prints.select("kid", "th", "n_chars", "f1", "f2").distinct()
-    stats = keys.where(F.col("kid") > -(1 << 63)).agg(F.count("*"), F.percentile_approx("kid", [i / 256 for i in range(257)], 2000)).first()
-    cuts = sorted(set(stats[1] or [0]))
-    parts = max(1, min(MOST_BUCKETS, -(-stats[0] // BUCKET_ROWS)) // len(cuts) + 1)
-    # bucket = the percentile's number, and within it `parts` equal widths: rising with the id
-    q = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= kid))")
-    lo = F.element_at(F.array(*[F.lit(float(c)) for c in [cuts[0], *cuts]]), q + 1)
-    hi = F.element_at(F.array(*[F.lit(float(c)) for c in [*cuts, cuts[-1]]]), q + 1)
-    part = F.least(F.lit(parts - 1), F.floor((F.col("kid").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * parts))
-    keys = keys.withColumn("q", q).withColumn("bucket", F.col("q").cast("long") * parts + F.when(q.between(1, len(cuts) - 1), F.greatest(part, F.lit(0))).otherwise(0))
+    null = F.col("kid") == -(1 << 63)
+    stats = keys.agg(F.count("*"), F.count(F.when(null, 1)), F.percentile_approx(F.when(~null, F.col("kid")), [i / PARTS for i in range(PARTS + 1)], 2000)).first()
+    cuts = sorted(set(stats[2] or [0]))
+    below = lambda array: F.expr(f"cast(size(filter({array}, c -> c <= kid)) as long)")
+    keys = keys.withColumn("q", below(f"array({', '.join(f'{c}L' for c in cuts)})"))
+    within = max(1, min(PARTS, -(-stats[0] // (BUCKET_ROWS * len(cuts)))))
+    sub = F.lit(0).cast("long")
+    if within > 1:  # PARTS + 2 rows of PARTS numbers at most
+        finer = keys.where(~null).groupBy("q").agg(F.percentile_approx("kid", [i / within for i in range(1, within)], 2000).alias("finer"))
+        keys = keys.join(F.broadcast(finer), "q", "left")
+        sub = F.coalesce(below("coalesce(finer, array())"), F.lit(0).cast("long"))
+    nulls = max(1, -(-stats[1] // BUCKET_ROWS))
+    by_text = -1 - F.least(F.lit(nulls - 1), F.floor((F.col("th").cast("double") / float(1 << 64) + 0.5) * nulls)).cast("long")
+    keys = keys.withColumn("bucket", F.when(null, by_text).otherwise(F.col("q") * (PARTS + 1) + sub)).drop("q", "finer")
     order = [F.desc("kid"), F.asc("th")]
     then = F.struct("kid", "th", "f1", "f2")
     keys = keys.withColumn("then", F.lead(then).over(Window.partitionBy("bucket").orderBy(*order)))
@@ -107,7 +116,7 @@ def report(docs: DataFrame, text: str = "text") -> DataFrame:
     if odd is None:
         name = name.withColumn("fingerprint", plain)
     else:
-        name = name.join(odd, ["kid", "th"], "left").withColumn("fingerprint", F.concat(plain, F.coalesce(F.concat(F.lit("-"), F.col("number").cast("string")), F.lit(""))))
+        name = name.join(odd[0], ["kid", "th"], "left").withColumn("fingerprint", F.concat(plain, F.coalesce(F.concat(F.lit("-"), F.col("number").cast("string")), F.lit(""))))
     groups = name.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     name = name.select("kid", "th", "fingerprint").distinct().join(groups, "fingerprint")
     near = neighbours(prints)
@@ -130,8 +139,10 @@ def report(docs: DataFrame, text: str = "text") -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.coalesce("head", F.lit("")))
     whole = whole.withColumn("edited", edited).withColumn("form", canonical(F.col("edited")))
     f1, f2 = digests(F.col("form"))
-    out = whole.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", as_text(f1, f2).alias("edited_fingerprint"), "near_next", "group_id", "group_size"
-    )
+    changed = as_text(f1, f2)
+    if odd is not None:  # an edited text may be one of the forms that got a number
+        whole = whole.withColumns({"f1": f1, "f2": f2}).join(odd[1], ["f1", "f2", "form"], "left")
+        changed = F.concat(as_text("f1", "f2"), F.coalesce(F.concat(F.lit("-"), F.col("number").cast("string")), F.lit("")))
+    out = whole.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", changed.alias("edited_fingerprint"), "near_next", "group_id", "group_size")
     same = (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same.alias("near_edited"), "near_next", "group_id", "group_size")
