@@ -23,7 +23,7 @@ def closure(ids, linked):
     return low
 
 
-@pytest.mark.parametrize("size", [4096, 40])
+@pytest.mark.parametrize("size", [4096, 5])
 def test_embeddings(spark, size):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 8))
@@ -44,9 +44,25 @@ def test_embeddings(spark, size):
     for i, r in enumerate(rows):
         assert (got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (near[i].sum() - 1, low[r[0]], low[r[0]] == r[0])
     assert all((got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (0, r[0], True) for r in odd)
+    assert all(r.audit_recall >= 0.999 for r in got.values())
     assert hnsw.near_duplicates(spark.createDataFrame([], V)).count() == 0
 
 
+def test_graph_search_and_audit_on_sparse_links():
+    """Random vectors: hardly any link among them, so the audit's turned copies have to show the recall."""
+    rng = np.random.default_rng(4)
+    x, q = (hnsw.unit(rng.normal(size=(n, 24))) for n in (1500, 400))
+    q[:60] = hnsw.unit(x[:60] + rng.normal(size=(60, 24)) * 0.02)
+    graph = hnsw.Graph.build(x.astype(np.float32))
+    i, j, seen, asked = hnsw.linked(graph, x, q, 0.98, False)
+    want = set(zip(*np.nonzero(q @ x.T >= 0.98), strict=True))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) >= 60
+    assert asked >= hnsw.AUDIT and seen >= 0.999 * asked
+    broken = hnsw.Graph(graph.x, [np.full_like(k, -1) for k in graph.layers], graph.entry)  # nothing can be reached
+    i, j, seen, asked = hnsw.linked(broken, x, q, 0.98, False)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and seen == asked  # widened to a scan
+
+
 def brute_fingerprint(text):
     import re
 

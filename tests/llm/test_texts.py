@@ -49,8 +49,28 @@ def test_equal_buckets_are_compared_by_bytes(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(digest, "digests", lambda form: (F.lit(1).cast("long"), F.lit(2).cast("long")))
-    got = {r.doc_id: r.fingerprint for r in digest.report(docs(spark, [(1, "a", "x"), (2, "b", "x"), (3, "A ", "x")])).collect()}
-    assert got[1] == got[3] != got[2]
+    rows = [(1, "a", "x"), (2, "b", "x"), (3, "A ", "x"), (4, "bbc", "x"), (5, "bba", "x"), (6, "b bb", "x")]
+    got = {r.doc_id: r for r in digest.report(docs(spark, rows)).collect()}
+    assert got[1].fingerprint == got[3].fingerprint and len({r.fingerprint for r in got.values()}) == 5
+    # 5 becomes "bbb": no document's form; 4 becomes "bbA", which is 5's form, and has its fingerprint
+    assert got[4].edited_fingerprint == got[5].fingerprint and got[4].near_edited == 0 == got[4].near_next
+
+
+def test_digest_of_many_null_ids_and_uneven_ids(spark, monkeypatch):
+    monkeypatch.setattr(digest, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(digest, "PARTS", 4)
+    rows = [(None, f"null {i}", "s") for i in range(40)] + [(i if i < 60 else i * 10**12, f"text {i} with words", "s") for i in range(80)]
+    got = digest.report(docs(spark, rows)).collect()
+    bodies = sorted(((i, t) for i, t, _ in rows if i is not None), reverse=True)
+    want = {}
+    for k, (i, t) in enumerate(bodies[:-1]):
+        n = len(t) // 3
+        want[i] = hashlib.sha256((t[: len(t) - n] + bodies[k + 1][1][:n]).encode()).hexdigest()
+    assert all(r.edited_sha256 == want[r.doc_id] for r in got if r.doc_id is not None and r.doc_id != bodies[-1][0])
+    # null ids follow one another in some order, each of their texts once, then the first of all
+    ends = [r for r in got if r.doc_id is None]
+    heads = {hashlib.sha256((f"null {i}"[: len(f"null {i}") - len(f"null {i}") // 3] + x).encode()).hexdigest() for i in range(40) for x in ("nu", "te")}
+    assert len(ends) == 40 and all(r.edited_sha256 in heads for r in ends)
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -100,6 +120,34 @@ def test_pii_candidates_and_redaction(spark):
     assert "555" not in text[2] and "10.0.0.1" not in text[2] and "a@b" not in text[2]
 
 
+def test_pii_model_is_the_same_in_expressions_and_in_numpy(spark):
+    """Features and scores of candidates by Spark against those that fitting uses; the greedy choice
+    against a plain one; a long list of numbers."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    model = pii.fitted()
+    parts = ["+1 (555) 123-4567", "555-123-4567", "4111 1111 1111 1111", "4111111111111112", "378282 246310 005", "jo [at] x [dot] org", "tel: ", "card ", "no. ", "x", " ", ", ", "(555) 123-4567", "5555-4444-3333-2222"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 10))) for _ in range(200)] + ["call (555) 123-4567 " * 1500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    body = F.col("text")
+    low = pii.Model(model.bias, model.trees, [-1e9] * 4)  # every candidate
+    got = df.select("doc_id", pii.candidates(body, low).alias("c"), pii.base_spans(body).alias("b"), pii.all_spans(body, pii.base_spans(body), model).alias("s")).collect()
+    for r in got:
+        text = texts[r.doc_id]
+        for c in r.c if r.doc_id < 200 else r.c[:50]:
+            f = pii.features(c.kind, text[c.start : c.end], text[max(0, c.start - pii.CONTEXT) : c.start], text[c.end : c.end + 1])
+            assert abs(model.score(np.array([f], dtype=float))[0] - c.score) < 1e-9, (text, c)
+        chosen = [(s.start, s.kind, s.end) for s in r.b]
+        for score, start, kind, end in sorted({(-c.score, c.start, c.kind, c.end) for c in r.c if c.score >= model.thresholds[c.kind]}) if r.doc_id < 200 else []:
+            if not any(a < end and start < b for a, _, b in chosen):
+                chosen.append((start, kind, end))
+        if r.doc_id < 200:
+            assert [(s.start, s.kind, s.end) for s in r.s] == sorted(chosen)
+        else:
+            assert len(r.s) == 1500
+
+
 def test_sharding(spark):
     rng = random.Random(1)
     rows = [(i, f"t{i}", rng.choice(["big"] * 6 + ["b", "c", None])) for i in range(1200)] + [(7, "t7", "big")] * 50 + [(None, None, None)]
@@ -116,38 +164,78 @@ def test_sharding(spark):
         body = f"t{r.doc_id}" if r.doc_id is not None else ""
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(body) + 8, zlib.crc32(body.encode()), "rows", None)
     assert sharding.shard(docs(spark, [])).count() == 0
-
-
-def brute_spans(rows):
-    """Texts without sentences covered by a span that has occurred before."""
+    repeats = sharding.shard(docs(spark, [(None, "x", "s")] * 10_000 + [(1, "y", "s")])).groupBy("shard").count().collect()
+    assert len(repeats) == 24 and {r["count"] for r in repeats} == {416, 417}
+
+
+def brute_sentences(text):
+    """(start, end, words) by looking at every run of white space."""
+    runs = [(m.start(), m.end()) for m in re.finditer(r"\s+", text)]
+    before = lambda k: text[k - 1] if k else "-"
+    natural = [b for a, b in runs if "\n" in text[a:b] or before(a) in ".!?…。！？" or re.match("[A-ZÀ-ÖØ-Þ¿¡]", text[b : b + 1])]
+    out, at = [], 0
+    for end in [*natural, len(text)]:
+        long = len(text[at:end].split()) > 20
+        for stop in [*(b for a, b in runs if long and at < a and b < end and before(a) in ",;:，；："), end]:
+            words = tuple(text[at:stop].lower().split())
+            if words:
+                out.append((at, stop, words))
+                at = stop
+    return out
+
+
+def brute_spans(rows, longest=None):
+    """Texts without sentences covered by a run of several sentences, of 20 words or more, that has
+    occurred before: every run is looked at (or those of up to `longest` sentences)."""
     seen, out = set(), []
     for i, text, _ in sorted(rows, key=lambda r: r[0]):
         text = text or ""
-        gone = []
-        for h1, h2, a, b in spans.spans(text):
-            if (h1, h2) in seen:
-                gone.append((a, b))
-            seen.add((h1, h2))
-        out.append((i, "".join(c for k, c in enumerate(text) if not any(a <= k < b for a, b in gone))))
+        found = brute_sentences(text)
+        gone = bytearray(len(text))
+        own = set()
+        for a in range(len(found)):
+            words = found[a][2]
+            for b in range(a + 1, min(len(found), a + (longest or len(found)))):
+                words += found[b][2]
+                if len(words) >= 20:
+                    key = hash((b - a, *(f[2] for f in found[a : b + 1])))
+                    if key in seen or key in own:
+                        gone[found[a][0] : found[b][1]] = b"x" * (found[b][1] - found[a][0])
+                    own.add(key)
+        seen |= own
+        out.append((i, "".join(c for c, g in zip(text, gone, strict=True) if not g)))
     return dict(out)
 
 
 def test_spans(spark):
     rng = random.Random(2)
-    sentence = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 6) for _ in range(rng.randrange(4, 16))).capitalize() + ". "
-    shared = ["".join(sentence() for _ in range(8)) for _ in range(3)]
-    rows = [(i, "".join(sentence() for _ in range(5)) + rng.choice([*shared, ""]) + "".join(sentence() for _ in range(4)), "s") for i in range(40)]
-    rows += [(100, rows[0][1], "s"), (101, shared[0] + shared[0], "s"), (102, "", "s"), (103, None, "s"), (104, "one. two. " * 2000, "s")]
+    sentence = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 6) + rng.choice(["", "", "", ","]) for _ in range(rng.choice([3, 4, 8, 15, 30]))).capitalize() + ". "
+    shared = ["".join(sentence() for _ in range(8)) for _ in range(3)] + [", ".join(f"p{k} q{k} r{k}" for k in range(20)) + ". "]
+    rows = [(i, "".join(sentence() for _ in range(5)) + rng.choice([*shared, "", "short Again. Short again.\n"]) + "".join(sentence() for _ in range(4)), "s") for i in range(40)]
+    rows += [(100, rows[0][1], "s"), (101, shared[0] + shared[0], "s"), (102, "", "s"), (103, None, "s"), (104, "one. two. " * 60, "s")]
     df = docs(spark, rows)
     got = {r.doc_id: r for r in spans.remove_repeats(df).collect()}
     want = brute_spans(rows)
     assert len(got) == len(rows) and got[103].text is None
     for i, t, _ in rows:
         assert (got[i].text or "") == want[i] and got[i].n_removed == len(t or "") - len(want[i])
-    assert got[100].text == "" and got[5].source == "s"
+    assert got[100].text == "" and got[5].source == "s" and got[104].n_removed > 400
     assert spans.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_spans_of_odd_rows(spark):
+    """Null ids are told apart by text, columns of helper names are kept, a very long text is cut whole."""
+    passage = "".join(f"Word{k} and some more words of sentence {k}. " for k in range(8))
+    schema = "doc_id long, text string, __kid string, __crc long, cuts string, kid int, n_removed string, h1 double"
+    rows = [(None, "Alpha beta. " + passage, "k", 1, "c", 2, "n", 0.5), (None, "Gamma delta. " + passage, "k", 1, "c", 2, "n", 0.5), (1, passage + "Own end here.", "k", 77, None, 2, "n", 0.5)]
+    rows += [(1, "A different text under the id. " + passage, "k", 77, None, 2, "n", 0.5), (2, "x " * 200_000 + passage, None, None, None, None, None, None)]
+    got = spans.remove_repeats(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "__kid", "__crc", "cuts", "kid", "h1", "n_removed"]
+    out = sorted(((r.doc_id, r.text, r["__crc"], r.n_removed) for r in got.collect()), key=str)
+    assert {(i, t.strip()[:30], c) for i, t, c, _ in out} == {(None, "Alpha beta.", 1), (None, "Gamma delta.", 1), (1, passage[:30], 77), (1, "A different text under the id.", 77), (2, ("x " * 200)[:30], None)}
+    assert [n for i, _, _, n in out if i == 1] == [0, 0] and all(n >= len(passage) - 1 for i, _, _, n in out if i != 1)
+
+
 def test_classifier(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["water", "house", "light", "green", "river", "stone"]) + rng.choice(["", "", ","]) for _ in range(60)) + "."
@@ -165,6 +253,43 @@ def test_classifier(spark):
     assert gam.classify(docs(spark, []), labels).count() == 0
 
 
+def brute_tree(g, h, n):
+    """All cuts of ordered bins into three leaves or fewer, the one of the greatest gain."""
+    b, best = len(g), (1e-9 + g.sum() ** 2 / (h.sum() + 1), ())
+    ways = [(p,) for p in range(1, b)] + [(p, q) for p in range(1, b) for q in range(p + 1, b)]
+    for cuts in ways:
+        leaves = list(zip((0, *cuts), (*cuts, b), strict=True))
+        if all(n[s:e].sum() >= gam.MIN_ROWS for s, e in leaves):
+            gain = sum(g[s:e].sum() ** 2 / (h[s:e].sum() + 1) for s, e in leaves)
+            if gain > best[0] + 1e-9:
+                best = (gain, cuts)
+    return best
+
+
+def test_trees_and_tables_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        b = int(rng.integers(1, 9))
+        n = rng.integers(0, 12, b)
+        g, h = rng.normal(size=b) * np.sqrt(n), n * 0.2
+        step = gam._tree(g, h, n)
+        gain, cuts = brute_tree(g, h, n)
+        leaves = list(zip((0, *cuts), (*cuts, b), strict=True))
+        if len(set(np.round(step, 12))) > 1 or cuts:
+            got = sum(g[s:e].sum() * step[s] for s, e in leaves) if all(np.allclose(step[s:e], step[s]) for s, e in leaves) else None
+            assert got is not None and abs(got - sum(g[s:e].sum() ** 2 / (h[s:e].sum() + 1) for s, e in leaves)) < 1e-9
+    x = rng.random((300, len(gam.FEATURES)))
+    model = gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float))
+    got = model.score(x)
+    for row, score in zip(x[:50], got[:50], strict=True):
+        z = model.bias
+        for j, t in enumerate(model.tables):
+            z += t[sum(row[j] >= e for e in model.edges[j])]
+        for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+            z += t[sum(row[i] >= e for e in model.coarse[i])][sum(row[j] >= e for e in model.coarse[j])]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_pair_tables_learn_interactions():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(gam.FEATURES)))

@@ -56,7 +56,8 @@ def test_samples_follow_the_lattice():
     want = ways(" then")
     total = sum(want.values())
     n = 20_000
-    got = Counter(tuple(ids.tolist()) for ids in v.sample(["then"] * n, list(range(n)), 8))
+    ids, cuts = v.sample(["then"] * n, list(range(n)), 8)
+    got = Counter(tuple(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
     assert set(got) <= set(want)
     for path, w in want.items():
         p = w / total
@@ -116,8 +117,23 @@ def test_differencing():
     sums = [sum(sizes[i] for i in g) for g in groups]
     assert sorted(i for g in groups for i in g) == list(range(300)) and max(sums) - min(sums) < 200
     assert packing.difference([], 3) == [[], [], []] and packing.difference([5], 1) == [[0]]
-    windows = packing.pack(sizes)
-    assert len(windows) == k and all(sum(n for _, _, n in w) <= 2048 for w in windows)
+    for sizes in (sizes, [2048] * 5, [2047, 2047, 2], [1], [1500] * 40, rng.integers(1, 2048, 700).tolist()):
+        windows = packing.pack(sizes)
+        assert len(windows) == -(-sum(sizes) // 2048) and all(sum(n for _, _, n in w) <= 2048 for w in windows)
+        covered = {i: sorted((s, n) for w in windows for j, s, n in w if i == j) for i in range(len(sizes))}
+        for i, size in enumerate(sizes):
+            at = 0
+            for start, n in covered[i]:
+                assert start == at and n > 0
+                at += n
+            assert at == size
+
+
+def test_window_count_rises_before_anything_is_cut():
+    """Seven items of 1100 need seven windows whole; as four hold them, three are cut to fill the padding."""
+    assert max(sum(1100 for _ in g) for g in packing.difference([1100] * 7, 4)) > 2048
+    windows = packing.pack([1100] * 7)
+    assert len(windows) == 4 and sum((0, 1100) == (s, n) for w in windows for _, s, n in w) == 4
 
 
 def test_warc(spark):
@@ -145,5 +161,38 @@ def test_warc_files(spark):
     got = warc.derivatives(spark.createDataFrame([(k, bytearray(d) if d is not None else None) for k, d in data], "page_id long, record binary")).collect()
     assert Counter(r.page_id for r in got) == {1: 4, 2: 4, 3: 4, 7: 2}
     assert not any(r.digest_ok for r in got if r.page_id == 7)
+    whole = spark.createDataFrame([(k, bytearray(d) if d is not None else None) for k, d in data] + [(8, bytearray(one[:-30] + b"\r\n" + two + b"rubbish\r\n" + one)), (9, bytearray(gzip.compress(one)[:-20]))], "page_id long, record binary")
+    told = {r.page_id: (r.n_records, r.n_damaged) for r in warc.damage(whole).collect()}
+    assert told == {1: (3, 0), 2: (2, 0), 3: (2, 0), 4: (0, 1), 5: (0, 0), 6: (0, 1), 7: (1, 0), 8: (2, 2), 9: (0, 1)}
+    assert warc.derivatives(whole.where("page_id = 8")).count() == 4  # reading goes on after what is damaged
     chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Type: text/html; charset=latin-1\r\n\r\n3\r\n<p>\r\n1\r\n\xe9\r\n0\r\n\r\n"
     assert [r[8] for r in warc.derive([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:y>")], chunked)][1] == "é"
+
+
+def test_warc_pages_that_never_end_an_element():
+    """Megabytes of elements that are never closed take one way forward, not one for each."""
+    import time
+
+    start = time.time()
+    for body in (b"<title>" * 400_000, b"<title" * 400_000, b"<script " * 300_000, b"<meta " * 400_000, b"<a href=" * 300_000, b"<p>" * 10 + b" " * 2_000_000):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        meta, text = warc.derive([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:y>")], http)
+        assert "title:" not in meta[8]
+    assert time.time() - start < 60
+    late = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"<!-- " + b"x" * 10_000 + b" --><meta charset=latin-1><title>a</title><title>b</title>\xe9"
+    meta, text = warc.derive([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:y>")], late)
+    assert "charset: latin-1" in meta[8] and "title: a\r\n" in meta[8] and text[8] == "é"
+
+
+def test_long_text_without_spaces_is_bounded():
+    """One lattice for a text of one word; it doesn't outlive the next batch that needs room."""
+    v = pieces.Pieces(piece_path())
+    texts = ["漢字かな交じり文" * 50_000, "ab" * 200_000]
+    ids, cuts = v.sample(texts, [1, 2], 8)
+    assert v.lossless(ids, cuts, texts) == [True, True] and not all(v.lossless(ids, cuts, [texts[0], texts[1][:-1] + "c"]))
+    kept, pieces.KEPT = pieces.KEPT, 1000
+    try:
+        v.sample(["something else"], [1], 8)
+    finally:
+        pieces.KEPT = kept
+    assert len(v.first) < 100
