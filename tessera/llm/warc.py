@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<[!?/][^>]*>")
 _BLOCK = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead tr ul".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
 _HREF = re.compile(r"<a\s(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*?\bhref\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)'|([^\s\"'<>]+))", re.I)
-_META = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
+_META = re.compile(rb"<meta\b[^<>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 
 
@@ -56,9 +56,9 @@ def fields(head: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record in plain or gzipped (a member each or one for all) data.
-    Reading ends at the first thing that isn't a record, or that is cut short."""
+def unpacked(data: bytes) -> tuple[bytes, bool]:
+    """Data without gzip (a member each or one for all), and whether some of it couldn't be read."""
+    damaged = False
     while data[:2] == b"\x1f\x8b":
         parts, rest = [], data
         while rest[:2] == b"\x1f\x8b":
@@ -66,22 +66,44 @@ def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             try:
                 parts.append(member.decompress(rest))
             except zlib.error:
+                damaged = True
                 break
+            damaged |= not member.eof  # cut short
             rest = member.unused_data
+        else:
+            damaged |= bool(rest.strip(b"\x00"))
         data = b"".join(parts)
+    return data, damaged
+
+
+def parsed(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes] | None]:
+    """(headers, block) of each record; None for each stretch that is no record, or one cut short.
+    Reading goes on at the next line that begins a record."""
+    data, damaged = unpacked(data)
     at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = fields(data[data.find(b"\r\n", at) + 2 : end])
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+        head = fields(data[data.find(b"\r\n", at) + 2 : end]) if end >= 0 else []
         size = get(head, "Content-Length") or ""
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            return
-        yield head, data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
-        while data.startswith(b"\r\n", at):
-            at += 2
+        stop = end + 4 + int(size) if size.isdigit() else -1
+        # a record that was cut short reaches into the next one
+        if 0 <= stop <= len(data) and (stop == len(data) or data.startswith((b"\r\n", b"WARC/"), stop)):
+            yield head, data[end + 4 : stop]
+            at = stop
+            while data.startswith(b"\r\n", at):
+                at += 2
+        else:
+            damaged = False
+            yield None
+            then = data.find(b"\r\nWARC/", at)
+            at = then + 2 if then >= 0 else len(data)
+    if damaged:
+        yield None
+
+
+def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each whole record in plain or gzipped data."""
+    return (r for r in parsed(data) if r is not None)
 
 
 def get(headers: list[tuple[str, str]], name: str) -> str | None:
@@ -105,6 +127,14 @@ def plain(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _title(page: str) -> str | None:
+    """What stands in the first title element; None where none is closed. One way forward: where the
+    first one isn't closed, no later one is."""
+    start = _TITLE.search(page)
+    end = _TITLE_END.search(page, start.end()) if start else None
+    return page[start.end() : end.start()] if start and end else None
+
+
 def payload(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """(status line, headers, body without transfer and content codings) of an HTTP response."""
     end = block.find(b"\r\n\r\n")
@@ -133,7 +163,7 @@ def payload(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 def charset(headers: list[tuple[str, str]], body: bytes) -> str:
     said = re.search(r"charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", get(headers, "Content-Type") or "", re.I)
-    inside = None if said else _META.search(body[:4096])
+    inside = None if said else _META.search(body)
     name = said[1] if said else inside[1].decode() if inside else "utf-8"
     try:
         "".encode(name)
@@ -157,9 +187,9 @@ def derive(head: list[tuple[str, str]], block: bytes) -> list[tuple]:
     said, own = get(head, "WARC-Block-Digest"), digest(block)
     known = get(head, "WARC-Payload-Digest") or digest(body)
     ok = said is None or not said.lower().startswith("sha1:") or said == own
-    title = _TITLE.search(page)
+    title = _title(page)
     one = lambda v: re.sub(r"\s+", " ", v).strip()
-    lines = [("title", one(html.unescape(title[1])))] if title else []
+    lines = [("title", one(html.unescape(title)))] if title is not None else []
     lines += [("charset", name), ("source-status", status), *((f"source-{k.lower()}", v) for k, v in http)]
     lines += [("source-payload-digest", known), ("source-block-digest", said or own), ("source-digest-verified", str(ok).lower())]
     for m in _HREF.finditer(page):
@@ -196,7 +226,8 @@ def derivatives(source: DataFrame, key: str = "page_id") -> DataFrame:
     """A row of COLUMNS, after the key, for each record derived from the WARC data in `record`.
 
     Data may hold several records, gzipped or not; what isn't a response gives none, and so do
-    null, empty and damaged data. Other columns are not looked at."""
+    null, empty and damaged data: damage() tells how much there is of that. Other columns are not
+    looked at."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -213,3 +244,15 @@ def derivatives(source: DataFrame, key: str = "page_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[key, *COLUMNS])
 
     return source.select(F.col(key).cast("long").alias(key), F.col("record").cast("binary").alias("record")).mapInArrow(work, f"`{key}` long, {SCHEMA}")
+
+
+def damage(source: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, n_records, n_damaged) of the WARC data in `record`: whole records, and stretches that
+    are none or are cut short. Null and empty data have neither."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[r is None for r in parsed(data or b"")] for data in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) - sum(f) for f in found], pa.int64()), pa.array([sum(f) for f in found], pa.int64())], names=[key, "n_records", "n_damaged"])
+
+    return source.select(F.col(key).cast("long").alias(key), F.col("record").cast("binary").alias("record")).mapInArrow(work, f"`{key}` long, n_records long, n_damaged long")
