@@ -3,8 +3,9 @@
 Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional
 bytes. The index therefore has, for each fingerprint, one entry for every set of six byte
 positions with the bytes there (28 entries): two fingerprints meet in an entry if and only if
-their tally of shared positional bytes reaches that minimum. The tally and the bit distance of
-each meeting pair are then verified. As six bytes are fixed, an entry can hold 65,536 different
+their tally of shared positional bytes reaches that minimum. Within an entry the tally of each pair
+that may link is taken, whatever the entry's size; pairs below the minimum are left out, and the bit
+distance of the others decides. As six bytes are fixed, an entry can hold 65,536 different
 fingerprints at most, whatever the data: no group is unbounded, and none is capped.
 """
 
@@ -82,7 +83,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[own], values[label[own]]
 
 
+#: Fingerprints of an entry up to which each is met with every other; in a longer one, each is met with
+#: those that its flipped bits give. Both find every pair within `bits`; all found are then verified.
+SHORT = 64
+
+
 def _linked(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs reach the least number of shared positional bytes, and then differ little enough."""
     d = x ^ y
     shared = (d[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
     return (shared >= MIN_SHARED) & (np.bitwise_count(d) <= bits)
@@ -93,8 +100,7 @@ def _pairs(entry: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
     edge = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1], [True]]))
     start, size = edge[:-1], np.diff(edge)
     found_a, found_b = [], []
-    short = (size > 1) & (size <= 64)
-    at = np.zeros(len(fp), dtype=bool)
+    short = (size > 1) & (size <= SHORT)
     if short.any():
         run = np.repeat(np.where(short, np.arange(len(size)), -1), size)
         for d in range(1, int(size[short].max())):
@@ -102,8 +108,7 @@ def _pairs(entry: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
             k = k[_linked(fp[k], fp[k + d], bits)] if len(k) else k
             found_a.append(fp[k])
             found_b.append(fp[k + d])
-    del at
-    for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+    for s, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
         v = np.unique(fp[s : s + n])
         free = np.bitwise_or.reduce(v) ^ np.bitwise_and.reduce(v)  # within 16 bits
         ones = _FLIPS[(_FLIPS & free) != 0]
@@ -111,6 +116,7 @@ def _pairs(entry: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
             w = v ^ flip
             k = np.minimum(np.searchsorted(v, w), len(v) - 1)
             hit = (v[k] == w) & (v < w)
+            hit[hit] = _linked(v[hit], w[hit], bits)
             found_a.append(v[hit])
             found_b.append(w[hit])
     none = np.array([], dtype=np.uint64)
