@@ -4,9 +4,9 @@ A task tokenises its documents in input order and packs them block by block; not
 What a document has beyond whole windows joins the block's items. Differencing starts from one
 partial partition per item, and merges the two with the greatest imbalances, the fullest windows
 of one with the emptiest of the other, until one partition of near-equal windows is left. The
-window count rises while the block exceeds its capacity; what differencing leaves above a single
-window's capacity is cut off and put where there is room. Windows depend on how the input is split into
-tasks, and on nothing else: a task that is run again gives the same rows.
+window count rises whenever a window exceeds its capacity, and the block is differenced again; only
+then, to fill the padding, are the emptiest windows cut up. Windows depend on how the input is split
+into tasks, and on nothing else: a task that is run again gives the same rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 WINDOW = 2048
 #: Tokens in a block. At most one window's worth is padding in each.
 BLOCK_TOKENS = 1 << 19
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
+#: Characters of an odd text from which cutting it is quicker than encoding it whole.
+CUT_FROM = 4096
 END = (1).to_bytes(4, "little")
 #: How byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,28 +68,33 @@ def ordinary(path: str) -> Callable[[str], bytes]:
     return lambda text: struct.pack(f"<{len(ids := encode(text))}I", *ids)
 
 
-def tokenizer(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian unsigned 32-bit numbers, as the byte-level BPE file at
-    `path` has them (strings of special tokens count as ordinary text).
-
-    Its rule for splitting never joins what a single space separates, so words are encoded once
-    and looked up; texts with other white space or rare characters are encoded whole."""
+@lru_cache(maxsize=1)
+def _libraries(path: str) -> tuple[Callable[[str], bytes], _Words]:
+    """Any text's packed ids, and words' ids: a worker's tasks share them, as most words are met in
+    every task."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), _Words(ordinary(path))
 
-    def encode(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    words = _Words(ordinary(path))
+def tokenizer(path: str) -> Callable[[str], bytes]:
+    """text -> its ids as little-endian unsigned 32-bit numbers, as the byte-level BPE file at
+    `path` has them (strings of special tokens count as ordinary text).
+
+    Its rule for splitting never joins what a single space separates, so words are encoded once
+    and looked up; texts with other white space or rare characters are encoded whole."""
+    encode, words = _libraries(path)
 
     def run(text: str) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
-            # around a run of spaces or a rare character the rule looks further than one word
-            return encode(text) if len(text) < 4096 or text.isspace() else _pieces(text)
+            # around a run of spaces or a rare character the rule looks further than one word, so words
+            # can't be looked up; a short text isn't worth cutting, and gives the same ids either way:
+            # the rule always parts before a single space between two printable characters
+            return encode(text) if len(text) < CUT_FROM or text.isspace() else _pieces(text)
         first, *rest = text.split(" ")
         return (encode(first) if first else b"") + b"".join(map(words.__getitem__, rest))
 
@@ -139,34 +149,33 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def pack(sizes: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (item, start, length); every size is at least 1 and at most `window`."""
-    total = sum(sizes)
-    k = max(1, total // window)
-    while k * window < total:
-        k += 1
-    windows = [[[i, 0, sizes[i]] for i in group] for group in difference(sizes, k)]
-    loads = [sum(p[2] for p in w) for w in windows]
-    over: list[list[int]] = []
-    for j, w in enumerate(windows):
-        w.sort(key=lambda p: p[2])
-        while loads[j] > window:
-            item, start, length = w[-1]
-            cut = min(length, loads[j] - window)
-            over.append([item, start + length - cut, cut])
-            w[-1][2] -= cut
-            loads[j] -= cut
-            if not w[-1][2]:
-                w.pop()
-    room = [j for j in range(k) if loads[j] < window]
-    for item, start, length in over:
+    """Windows of pieces (item, start, length); every size is at least 1 and at most `window`.
+
+    The items are differenced into as few windows as could hold them, and while one exceeds its
+    capacity, into more. The emptiest windows, those above the least number, are then cut up to fill
+    the padding of the others, so that at most one window's worth of padding is left."""
+    least = max(1, -(-sum(sizes) // window))
+    k = least
+    while True:
+        groups = difference(sizes, k)
+        loads = [sum(sizes[i] for i in g) for g in groups]
+        if max(loads) <= window:
+            break
+        # by what is in excess, and by half of what it has risen already, so that a few times will do
+        k += max(1, 4 * sum(max(0, n - window) for n in loads) // window, (k - least) // 2)
+    order = sorted(range(k), key=lambda j: (-loads[j], j))
+    windows = [[(i, 0, sizes[i]) for i in sorted(groups[j], key=lambda i: (sizes[i], i))] for j in order]
+    room = [j for j in range(least) if loads[order[j]] < window]
+    free = [window - loads[j] for j in order]
+    for item, start, length in (piece for w in windows[least:] for piece in w):
         while length:
             j = room[-1]
-            n = min(length, window - loads[j])
-            windows[j].append([item, start, n])
-            loads[j], start, length = loads[j] + n, start + n, length - n
-            if loads[j] == window:
+            n = min(length, free[j])
+            windows[j].append((item, start, n))
+            free[j], start, length = free[j] - n, start + n, length - n
+            if not free[j]:
                 room.pop()
-    return [[(i, s, n) for i, s, n in w] for w in windows if w]
+    return [w for w in windows[:least] if w]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -179,6 +188,8 @@ def pieces(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW,
     null ids are packed like any others; an empty table gives no rows; other columns are not
     looked at. Documents longer than a window give whole windows and a rest."""
 
+    small_batches(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
         sequence = TaskContext.get().partitionId() << 32
