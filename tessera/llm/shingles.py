@@ -1,14 +1,14 @@
-"""Near copies by word shingles: MinHash bands find candidates, Jaccard similarity decides.
+"""Near copies by word shingles: op6's index finds candidates, Jaccard similarity decides.
 
 Two texts are near copies if the sets of their shingles (runs of WORDS words, as op6 cuts words)
-have a Jaccard similarity of at least LEAST. A SimHash distance can't find these pairs: at 0.8 some
-10 of 64 bits differ, and no split of 64 bits has few enough entries for that. Instead, each
-different text has BANDS keys of ROWS minima each; at similarity 0.8 two texts have no key in common
-with a probability of (1 - 0.8 ** ROWS) ** BANDS, or 5 in 100 million, and less above. A bucket's pivot
-is its text that meets most others; every text is compared with the greatest of its buckets' pivots,
-which settles most buckets. Where one then still has several components, its texts of different
-components are compared within a task, block by block: links come out of it, never pairs. Every pair that shares a bucket is either
-connected or has been compared.
+have a Jaccard similarity of at least LEAST. At 0.8 some 10 of 64 bits of a SimHash differ, so each
+different text has several independent ones, of its set of shingles, and those meet that share bytes
+of any (`simhash.meetings`, with the chance to miss a pair). That chance is larger for sets of four or
+five shingles, so those of up to nine meet exactly: at 0.8 they are equal or differ in one shingle that
+only one has. A bucket's pivot is its text that meets most others; every text is compared with the
+greatest of its buckets' pivots, which settles most buckets. Where one then still has several
+components, its texts of different components are compared within a task, block by block: links come
+out of it, never pairs. Every pair that shares a bucket is either connected or has been compared.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import components, small_batches, stash
 
-WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 4
+WORDS, LEAST = 5, 0.8
 #: Bytes of shingles of one bucket that are compared at once; a larger one is cut into blocks.
 BLOCK = 8 << 20
-_RNG = np.random.default_rng(42)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Shingles of a set up to which it is met without fingerprints too.
+FEW = 9
 _SPACE, _UPPER = "[ \\t\\n\\x0B\\f\\r]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,15 +47,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(view[a:b], 42) for a, b in spans), dtype=np.uint64, count=n - words + 1))
 
 
-def keys(found: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set of shingles, as signed longs."""
-    import xxhash
-
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 2048):
-        np.minimum(low, (found[None, at : at + 2048] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=low)
-    minima = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(minima)], dtype=np.uint64).view(np.int64)
+def few(found: np.ndarray) -> np.ndarray:
+    """Keys of a small set: of itself, and of itself without each of its shingles."""
+    if len(found) > FEW:
+        return found[:0]
+    whole = found.sum(dtype=np.uint64)
+    return np.concatenate([[whole], whole - found])
 
 
 def node(text: str = "text") -> Column:
@@ -137,19 +134,24 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = WORDS, least:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node(text).alias("node"), F.col(text).cast("string").alias("text"))
 
-    names = [f"k{i}" for i in range(BANDS)]
+    names = [f"p{i}" for i in range(simhash.PRINTS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                found = np.array([keys(shingles(t, words)) for t in b.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(k) for k in found.T)], names=["doc_id", "node", *names])
-
-    found = stash(rows.mapInArrow(work, f"doc_id long, node long, {', '.join(f'{n} long' for n in names)}"), "minima")
+                sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+                found = np.array([simhash.prints(s) for s in sets]).view(np.int64)
+                small = [few(s).view(np.int64) for s in sets]
+                ends = np.cumsum([0, *map(len, small)]).astype(np.int32)
+                small = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(small)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), small, *(pa.array(p) for p in found.T)], names=["doc_id", "node", "few", *names])
+
+    found = stash(rows.mapInArrow(work, f"doc_id long, node long, few array<long>, {', '.join(f'{n} long' for n in names)}"), "prints")
     # one row of each text stands for all; a null id comes after all others
-    one = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(n).alias(n) for n in names])
-    entries = one.select(F.explode(F.array(*names)).alias("k"), "node")
+    one = stash(found.groupBy("node").agg(*[F.min(n).alias(n) for n in names]), "texts")
+    small = found.select(F.explode("few").alias("k"), "node")
+    entries = stash(simhash.meetings(one).union(small).distinct(), "entries")
     buckets = entries.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     meeting = stash(entries.join(buckets, "k"), "meeting")
     meeting = meeting.join(meeting.groupBy("node").agg(F.sum("n").alias("meets")), "node")

@@ -7,6 +7,9 @@ their tally of shared positional bytes reaches that minimum. Within an entry the
 that may link is taken, whatever the entry's size; pairs below the minimum are left out, and the bit
 distance of the others decides. As six bytes are fixed, an entry can hold 65,536 different
 fingerprints at most, whatever the data: no group is unbounded, and none is capped.
+
+Wider distances, as the pipeline's near copies need them, have the same index over several
+fingerprints: `prints` and `meetings`.
 """
 
 from __future__ import annotations
@@ -170,3 +173,146 @@ def near_duplicates(docs: DataFrame, text: str = "text", bits: int = 2) -> DataF
     lows = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
     nodes = nodes.join(lows, "component").select("fp", "component_id")
     return fps.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies of a Jaccard similarity of 0.8 differ in some 10 of 64 bits, which may touch every byte,
+# so one fingerprint guarantees no shared byte. A text therefore has PRINTS independent ones, and the
+# least number of shared bytes is asked of any of them.
+
+#: Fingerprints of a text; shared positional bytes of one that let two texts meet; bits in which it and
+#: the next may then differ. At similarity 0.8 a bit differs with a probability of 0.151 (the angle of
+#: two sets, arccos 2J / (1 + J), by pi), and a fingerprint lets two texts meet with one of 0.65, so that
+#: PRINTS of them miss a pair with one of 1e-9 (6e-8 for 12 shingles within 15, whose bits differ more
+#: often), and less above; more bits would bring in many texts of lesser similarity.
+PRINTS, SHARED, FAR = 20, 2, 24
+#: Texts that are dealt at once, and those of one fingerprint and byte that a task has, on average.
+DEAL, HELD = 8192, 1 << 16
+#: Pairs of an entry are listed if it has no more fingerprints than this; a longer one is spread over.
+LISTED = 256
+_SEEDS = np.random.default_rng(6).integers(0, 1 << 63, PRINTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX, _MIX2, _LOWEST = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x0101010101010101)
+
+
+def prints(found: np.ndarray) -> np.ndarray:
+    """The PRINTS fingerprints of a set of hashed shingles: a bit is 1 if it is in over half of them."""
+    counts = np.zeros((8, 8 * PRINTS), dtype=np.int64)
+    for at in range(0, len(found), 240):  # eight counts a word, which 255 would fill
+        x = found[at : at + 240, None] ^ _SEEDS
+        x *= _MIX
+        x ^= x >> np.uint64(32)
+        x *= _MIX2
+        x ^= x >> np.uint64(32)
+        for bit in range(8):
+            counts[bit] += (x & _LOWEST).sum(axis=0).view(np.uint8)
+            x >>= np.uint64(1)
+    return np.packbits(2 * counts > len(found), axis=0, bitorder="little")[0].view(np.uint64)
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which rows (fingerprint, next) differ."""
+    d = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
+    return d + np.bitwise_count(x[..., 1] ^ y[..., 1])
+
+
+def _spread(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within one long entry that connect what its pairs of at most FAR bits connect."""
+    left, front, a, b = np.arange(1, len(f)), np.array([0]), [], []
+    while len(left):
+        if not len(front):
+            front, left = left[:1], left[1:]
+        n = max(1, (1 << 20) // max(1, len(left)))
+        now, front = front[:n], front[n:]
+        near = _differ(f[now][:, None], f[left][None]) <= FAR
+        hit = near.any(axis=0)
+        a.append(now[near.argmax(axis=0)[hit]])
+        b.append(left[hit])
+        front, left = np.concatenate([front, left[hit]]), left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _met(rows: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, node): the groups among rows (fingerprint, next, node) connected by pairs that share byte
+    `at` and a later one, and differ in FAR bits at most."""
+    low, high = np.array([], dtype=np.uint64), np.array([], dtype=np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle():
+        nonlocal low, high, held
+        low, high = _forest(*(np.concatenate(x) for x in zip((low, high), *held, strict=True)))
+        held = []
+
+    byte = rows[:, :1].copy().view(np.uint8)
+    for other in range(at + 1, 8):
+        key = byte[:, at].astype(np.uint16) << np.uint16(8) | byte[:, other]
+        r = rows[np.argsort(key, kind="stable")]
+        key = np.sort(key)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        start, size = edge[:-1], np.diff(edge)
+        last = np.repeat(edge[1:], size)
+        k, d = np.flatnonzero(np.repeat(size <= LISTED, size)), 1
+        while len(k := k[k + d < last[k]]):
+            near = k[_differ(r[k], r[k + d]) <= FAR]
+            held.append((r[near, 2], r[near + d, 2]))
+            d += 1
+            if sum(len(a) for a, _ in held) > 1 << 20:
+                settle()
+        for s, n in zip(start[size > LISTED].tolist(), size[size > LISTED].tolist(), strict=True):
+            a, b = _spread(r[s : s + n])
+            held.append((r[s + a, 2], r[s + b, 2]))
+        settle()
+    tops, which = np.unique(high, return_inverse=True)
+    node, which = np.concatenate([low, tops]), np.concatenate([which, np.arange(len(tops))])
+    mixed = (node ^ _SEEDS[0]) * _MIX
+    mixed = (mixed ^ mixed >> np.uint64(32)) * _MIX2
+    total = np.zeros(len(tops), dtype=np.uint64)  # equal groups have equal buckets, wherever they are found
+    np.add.at(total, which, mixed)
+    return total[which], node
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(k, node): buckets of texts that may be near copies, of rows (node, and its PRINTS fingerprints),
+    one for each node; a bucket may come up several times.
+
+    Two texts are in one bucket if some fingerprint of theirs reaches the least number of shared
+    positional bytes, SHARED, and it and the next differ in at most FAR bits; what such pairs connect
+    within a byte's entries is a bucket. Each fingerprint is dealt once for each of its first seven bytes,
+    and a task has the texts of one byte, or of some of its values; there it makes the entries of that
+    byte with each later one. No entry is capped: the pairs of a long one are searched from its first
+    text on, without being listed."""
+    texts, parts = rows.count(), 1
+    while parts < 256 and parts * HELD < texts:
+        parts *= 2
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def dealt():
+            t = np.concatenate(held)
+            for w in range(PRINTS):
+                own = np.ascontiguousarray(t[:, [1 + w, 1 + (w + 1) % PRINTS, 0]])
+                byte = own[:, :1].copy().view(np.uint8)
+                for at in range(7):
+                    part = byte[:, at].astype(np.int64) * parts >> 8
+                    sizes = np.bincount(part, minlength=parts)
+                    ends = np.cumsum([0, *24 * sizes]).astype(np.int32)
+                    data = own[np.argsort(part, kind="stable")]
+                    rows = pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                    ids = pa.array((w * 8 + at) * 256 + np.arange(parts), pa.int32())
+                    yield pa.RecordBatch.from_arrays([ids, rows], names=["part", "rows"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(np.stack([c.to_numpy().view(np.uint64) for c in b.columns], axis=1))
+                n += b.num_rows
+            if n >= DEAL:
+                yield from dealt()
+                held, n = [], 0
+        if n:
+            yield from dealt()
+
+    def work(t: pa.Table) -> pa.Table:
+        found = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64).reshape(-1, 3) for x in t["rows"]])
+        k, node = _met(found, t["part"][0].as_py() // 256 % 8)
+        return pa.table({"k": pa.array(k.view(np.int64)), "node": pa.array(node.view(np.int64))})
+
+    return rows.mapInArrow(deal, "part int, rows binary").groupBy("part").applyInArrow(work, "k long, node long")

@@ -77,3 +77,90 @@ def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
     rows = [(1, a), (2, b), (2, a + " more"), (None, c), (None, c), (None, b), (3, d), (3, d)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, c), (1, a), (2, b), (3, d)]
+
+
+def brute_meet(x, y):
+    """Whether two texts' fingerprints share enough positional bytes, and differ in few enough bits."""
+    from tessera.llm import simhash
+
+    for w, (a, b) in enumerate(zip(x, y, strict=True)):
+        next_a, next_b = x[(w + 1) % len(x)], y[(w + 1) % len(x)]
+        shared = sum((a >> s) & 255 == (b >> s) & 255 for s in range(0, 64, 8))
+        if shared >= simhash.SHARED and (a ^ b).bit_count() + (next_a ^ next_b).bit_count() <= simhash.FAR:
+            return True
+    return False
+
+
+def test_index_of_several_fingerprints_meets_all_pairs_it_must(spark, monkeypatch):
+    """The stage's candidates are op6's: texts that share positional bytes of a SimHash of 5-word shingles."""
+    import numpy as np
+
+    from tessera.llm import shingles, simhash
+
+    texts = sorted({" ".join((t or "").lower().split()) for t in varied(seed=5, groups=40)})
+    found = [[int(p) for p in simhash.prints(shingles.shingles(t))] for t in texts]
+    signed = np.array(found, dtype=np.uint64).view(np.int64).tolist()
+    schema = ", ".join(["node long", *(f"p{i} long" for i in range(simhash.PRINTS))])
+    frame = spark.createDataFrame([(n, *p) for n, p in enumerate(signed)], schema)
+    must = {(a, b) for a in range(len(texts)) for b in range(a) if brute_meet(found[a], found[b])}
+    near = {(a, b) for b, a in brute_links(list(enumerate(texts)))}
+    assert len(near) > 100 and near <= must
+    for held, deal in ((1 << 16, 8192), (16, 50)):  # a task for each byte, and one for some of its values
+        monkeypatch.setattr(simhash, "HELD", held)
+        monkeypatch.setattr(simhash, "DEAL", deal)
+        groups = {}
+        for r in simhash.meetings(frame).collect():
+            groups.setdefault(r.k, set()).add(r.node)
+        met = {(a, b) for g in groups.values() for a in g for b in g if b < a}
+        assert must <= met and len(met) < 2 * len(must)
+
+
+def test_fingerprint_bit_is_set_in_over_half_the_shingles():
+    import numpy as np
+
+    from tessera.llm import simhash
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 240, 241, 700):
+        found = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for seed, got in zip(simhash._SEEDS, simhash.prints(found), strict=True):
+            x = (found ^ seed) * simhash._MIX
+            x = (x ^ x >> np.uint64(32)) * simhash._MIX2
+            x ^= x >> np.uint64(32)
+            assert int(got) == sum(1 << i for i in range(64) if 2 * sum(int(v) >> i & 1 for v in x) > n)
+
+
+def test_long_entry_connects_what_its_pairs_connect(monkeypatch):
+    import numpy as np
+
+    from tessera.llm import simhash
+
+    rng = np.random.default_rng(9)
+    rows = rng.integers(0, 1 << 63, (12, 3), dtype=np.uint64).repeat(60, axis=0)
+    for _ in range(10):  # some are nearer to others of their dozen than FAR bits, some aren't
+        rows[:, 1] ^= np.uint64(1) << rng.integers(0, 64, len(rows), dtype=np.uint64)
+        rows[:, 0] ^= np.uint64(1) << rng.integers(0, 40, len(rows), dtype=np.uint64)
+    rows[:, 2] = np.arange(len(rows), dtype=np.uint64)
+    rows[:, 0] = rows[:, 0] & ~np.uint64(0xFFFF << 48) | np.uint64(7 << 48)
+    groups = []
+    for listed in (10**6, 5):
+        monkeypatch.setattr(simhash, "LISTED", listed)
+        found = {}
+        for k, node in zip(*(x.tolist() for x in simhash._met(rows, 6)), strict=True):
+            found.setdefault(k, set()).add(node)
+        groups.append(found)
+    assert groups[0] == groups[1] and 2 <= len(groups[0]) < 700
+
+
+def test_small_sets_meet_exactly(spark, monkeypatch):
+    """Eight words and a ninth: sets of four and five shingles, which fingerprints might miss."""
+    from tessera.llm import shingles, simhash
+
+    monkeypatch.setattr(simhash, "meetings", lambda rows: rows.selectExpr("0L AS k", "node").limit(0))
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(n + j))) for i, n in enumerate(range(1, 20)) for j in (0, 1)]
+    low = {}
+    for r in shingles.near_copies(spark.createDataFrame(rows, SCHEMA)).collect():
+        low.setdefault(r.component, set()).add(r.doc_id)
+    joined = {min(g) // 2 + 1 for g in low.values() if len(g) == 2}
+    # n words have n - 4 shingles; the index is switched off here, so longer texts stay apart
+    assert joined == set(range(8, 13))
