@@ -6,9 +6,10 @@ different text has several independent ones, of its set of shingles, and those m
 of any (`simhash.meetings`, with the chance to miss a pair). That chance is larger for sets of four or
 five shingles, so those of up to nine meet exactly: at 0.8 they are equal or differ in one shingle that
 only one has. A bucket's pivot is its text that meets most others; every text is compared with the
-greatest of its buckets' pivots, which settles most buckets. Where one then still has several
-components, its texts of different components are compared within a task, block by block: links come
-out of it, never pairs. Every pair that shares a bucket is either connected or has been compared.
+greatest of its buckets' pivots, which settles most buckets. What the others' pivots tie together is a
+neighbourhood: a text is in some dozens of buckets, but in one neighbourhood, whose texts of different
+components are compared within tasks, block by block: links come out of it, never pairs. Every pair
+that shares a bucket is either connected or has been compared.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from tessera.llm import simhash
 from tessera.llm.common import components, small_batches, stash
 
 WORDS, LEAST = 5, 0.8
-#: Bytes of shingles of one bucket that are compared at once; a larger one is cut into blocks.
+#: Texts of a block of a neighbourhood, and its most blocks, so that a text is dealt MOST times at most;
+#: a block of more bytes of shingles than BLOCK is cut further, as a task holds two of them.
+TEXTS, MOST = 64, 32
 BLOCK = 8 << 20
 #: Shingles of a set up to which it is met without fingerprints too.
 FEW = 9
@@ -47,12 +50,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(view[a:b], 42) for a, b in spans), dtype=np.uint64, count=n - words + 1))
 
 
-def few(found: np.ndarray) -> np.ndarray:
-    """Keys of a small set: of itself, and of itself without each of its shingles."""
+def few(found: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Keys of a small set: of itself, and of itself without each of its shingles, where a set that
+    lacks one is similar enough (else all sets of a single shingle would meet, without any)."""
     if len(found) > FEW:
         return found[:0]
     whole = found.sum(dtype=np.uint64)
-    return np.concatenate([[whole], whole - found])
+    return np.concatenate([[whole], whole - found if len(found) - 1 >= least * len(found) - 1e-9 else found[:0]])
 
 
 def node(text: str = "text") -> Column:
@@ -85,21 +89,29 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _linked(a: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes of different roots with a similarity of at least least, as far as they connect
-    what isn't connected yet. The most common root's own nodes are not compared with one another."""
+    what isn't connected yet. The most common root's own nodes are not compared with one another.
+
+    With the rarest shingles first, similar sets have one in common among their first ones, of which
+    there are one more than either may have without the other; only sets that do are compared."""
     nodes, roots = a["node"].to_numpy(), np.unique(a["root"].to_numpy(), return_inverse=True)[1]
     held = a["shingles"].combine_chunks()
     size = np.diff(held.offsets.to_numpy())
-    _, code = np.unique(held.flatten().to_numpy(), return_inverse=True)
+    _, code, seen = np.unique(held.flatten().to_numpy(), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(code, kind="stable")  # owners of each shingle, one shingle after another
-    owners, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    rank = np.empty(len(seen), dtype=np.int64)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+    code = rank[code]
+    code = code[np.lexsort((code, owner))]
     ends = np.cumsum(size)
+    needed = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(code)) - np.repeat(ends - size, size) < np.repeat(needed, size)
+    every, begun = _owners(code, owner, len(seen)), _owners(code[early], owner[early], len(seen))
     common, left, right = int(np.argmax(np.bincount(roots))), [], []
     for i in np.flatnonzero(roots != common):
         mine = code[ends[i] - size[i] : ends[i]]
-        n = first[mine + 1] - first[mine]
-        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(owners[at], minlength=len(size))
+        if (roots[_having(begun, mine[: needed[i]])] == roots[i]).all():
+            continue
+        both = np.bincount(_having(every, mine), minlength=len(size))
         hit = np.flatnonzero((both >= least * (size + size[i] - both) - 1e-9) & (roots != roots[i]))
         for other in np.unique(roots[hit]):
             left.append(nodes[i])
@@ -108,21 +120,54 @@ def _linked(a: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def _between(rest: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between the different roots of each bucket k of rest (k, node, root, shingles).
+def _owners(code: np.ndarray, owner: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of each code, one code after another, and where each code's begin."""
+    return owner[np.argsort(code, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=codes))])
+
+
+def _having(owners: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """The owners of any of codes, once for each of them."""
+    found, first = owners
+    n = first[codes + 1] - first[codes]
+    return found[np.repeat(first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
-    A bucket is compared within a task, so pairs are never rows. One of more than BLOCK bytes is cut
-    into blocks by hash, and each two of its blocks are a task's work."""
-    blocks = rest.groupBy("k").agg(F.ceil(F.sum(8 * F.size("shingles") + 64) / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "k").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+
+def _dealt(rest: DataFrame) -> DataFrame:
+    """Texts (node, root, hood, shingles) as tasks get them, (hood, x, y, node, root, shingles).
+
+    Each two blocks of a neighbourhood, cut by hash, are a task's work (x, y), so a text comes as often
+    as there are blocks. Those are MOST at most, however many texts there are, unless its shingles are
+    of more than MOST times BLOCK bytes."""
+    cut = F.greatest(F.least(F.ceil(F.count("*") / TEXTS), F.lit(MOST)), F.ceil(F.sum(8 * F.size("shingles") + 64) / BLOCK))
+    blocks = stash(rest.groupBy("hood").agg(cut.cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    dealt = rest.join(blocks, "hood", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", "shingles")
+    return dealt.select("hood", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", "shingles")
+
+
+def _between(rest: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the different roots of each neighbourhood of rest (node, root, hood,
+    shingles), which is compared within tasks, so pairs are never rows."""
 
     def work(t: pa.Table) -> pa.Table:
         a, b = _linked(t, least)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("k", "x", "y").applyInArrow(work, "a long, b long")
+    return _dealt(rest).groupBy("hood", "x", "y").applyInArrow(work, "a long, b long")
+
+
+def _hoods(ties: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, root, hood) of the nodes of neighbourhoods of several roots. Ties (node, pivot) are those
+    of each bucket's texts to its pivot, so that a bucket's roots have one neighbourhood."""
+
+    def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
+        return rows.join(comp.toDF(name, "found"), name, "left").withColumn(root, F.coalesce("found", name)).drop("found")
+
+    between = rooted(rooted(ties, "node", "a"), "pivot", "b").where("a <> b").select("a", "b").distinct()
+    tied = components(between).toDF("root", "hood")
+    hoods = tied.union(tied.select("hood", "hood").distinct())
+    return rooted(ties.select("node").distinct(), "node", "root").join(hoods, "root").select("node", "root", "hood")
 
 
 def near_copies(docs: DataFrame, text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -142,7 +187,7 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = WORDS, least:
                 b = whole.slice(at, 1000)
                 sets = [shingles(t, words) for t in b.column(2).to_pylist()]
                 found = np.array([simhash.prints(s) for s in sets]).view(np.int64)
-                small = [few(s).view(np.int64) for s in sets]
+                small = [few(s, least).view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, small)]).astype(np.int32)
                 small = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(small)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), small, *(pa.array(p) for p in found.T)], names=["doc_id", "node", "few", *names])
@@ -166,8 +211,7 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = WORDS, least:
     sets = stash(_sets(texts, words).groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
     near = stash(_compared(best, sets).where(F.col("like") >= least - 1e-9).select("a", "b"), "near")
     comp = components(near)
-    roots = members.join(comp, "node", "left").select("k", "node", F.coalesce("component", "node").alias("root"))
-    mixed = roots.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("k")
-    rest = stash(roots.join(mixed, "k").join(sets, "node").select("k", "node", "root", "shingles"), "mixed")
+    ties = members.select("node", F.col("pivot.node").alias("pivot")).distinct()
+    rest = stash(_hoods(ties, comp).join(sets, "node").select("node", "root", "hood", "shingles"), "mixed")
     comp = components(near.union(_between(rest, least)))
     return found.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))

@@ -164,3 +164,62 @@ def test_small_sets_meet_exactly(spark, monkeypatch):
     joined = {min(g) // 2 + 1 for g in low.values() if len(g) == 2}
     # n words have n - 4 shingles; the index is switched off here, so longer texts stay apart
     assert joined == set(range(8, 13))
+
+
+def variants(n, seed=8, share=0.04):
+    """Texts with some words of one changed: near one another, few of them near enough."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    return [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in words)) for i in range(n)]
+
+
+def test_text_of_a_large_group_is_dealt_a_bounded_number_of_times(spark, monkeypatch):
+    """Whatever the buckets it is in, and however many others are in them."""
+    from tessera.llm import shingles
+
+    seen, between = [], shingles._between
+    monkeypatch.setattr(shingles, "_between", lambda rest, least: seen.append(rest) or between(rest, least))
+    rows = variants(200)
+    got = shingles.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    low = closure([i for i, _ in rows], brute_links(rows))
+    assert len({(low[r.doc_id], r.component) for r in got}) == len(set(low.values())) == len({r.component for r in got})
+    texts = seen[0].select("node").distinct().count()
+    assert seen[0].count() == texts > 100
+    monkeypatch.setattr(shingles, "TEXTS", 8)
+    for most in (1, 4, 16):
+        monkeypatch.setattr(shingles, "MOST", most)
+        assert shingles._dealt(seen[0]).count() <= most * texts
+
+
+def test_different_short_texts_do_not_meet(spark, monkeypatch):
+    from tessera.llm import shingles
+
+    seen, between = [], shingles._between
+    monkeypatch.setattr(shingles, "_between", lambda rest, least: seen.append(rest) or between(rest, least))
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(60)]
+    got = shingles.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r.component for r in got}) == 60
+    assert seen[0].count() == 0
+
+
+def test_sets_linked_within_a_task_are_those_of_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import shingles
+
+    rng, joined = np.random.default_rng(2), 0
+    for _ in range(40):
+        base, sets = np.arange(rng.integers(1, 45)), []
+        for _ in range(30):
+            kept = base[rng.random(len(base)) > rng.choice([0, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(100, 10**6, rng.integers(0, 4)), base[:1]])))
+        roots = rng.integers(0, 20, len(sets))
+        t = pa.table({"node": np.arange(len(sets)), "root": roots, "shingles": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+        pairs = [(a, b) for a in range(30) for b in range(a) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))]
+        alike = [(a, b) for a in range(30) for b in range(a) if roots[a] == roots[b]]
+        left, right = (x.tolist() for x in shingles._linked(t, 0.8))
+        assert {(max(p), min(p)) for p in zip(left, right, strict=True)} <= set(pairs)
+        assert closure(range(30), [*alike, *zip(left, right, strict=True)]) == closure(range(30), [*alike, *pairs])
+        joined += len(left)
+    assert joined > 100
