@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ class Dataset:
     (s, p, o, g), g being null in the default graph."""
 
     spark: SparkSession
+    #: Matches read stored columns, and are different ones: they need neither be written nor compared.
+    direct = False
 
     def match(self, t: Triple, graph: str | None = None) -> Plan:
         raise NotImplementedError
@@ -143,6 +146,8 @@ class LiftedDataset(Dataset):
     def __init__(self, tables: Iterable[Lifted]):
         self.tables = list(tables)
         self.spark = self.tables[0].df.sparkSession
+        starts = sorted(t.prefix for t in self.tables)  # no row of one table may be named like another's
+        self.direct = not any(b.startswith(a) for a, b in pairwise(starts))
 
     def _rows(self, table: Lifted, subject: str, arms: list[tuple[str, str]]) -> Plan | None:
         df = table.df.withColumn("s:key", table.key)

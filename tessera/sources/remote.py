@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import terms as T
-from tessera.operators.solutions import col_of, name_of
+from tessera.operators.solutions import Plan, col_of, name_of
 from tessera.operators.tables import written
 from tessera.plans.algebra import Triple, Var
 from tessera.plans.demand import Pattern
@@ -124,6 +124,7 @@ class Source:
 
     page_size = 1000
     kind = "DataService"
+    data: Dataset | None = None  # what is read, where that is at hand
 
     def __init__(self, spark: SparkSession, identity: str, config: Config | None = None):
         self.spark, self.identity, self.config = spark, identity, config or Config()
@@ -174,7 +175,7 @@ class DatasetSource(Source):
         if not patterns:
             return []
         if not isinstance(self.data, QuadDataset):  # an aggregate for each pattern, all in one job
-            plans = [self.data.match(self._triple(p), self._graph(p)).df for p in patterns]
+            plans = [self.plan(p).df for p in patterns]
             parts = [df.agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n") for i, df in enumerate(plans)]
             found = {r.i: r.n for r in reduce(DataFrame.union, parts).collect()}
             return [found[i] for i in range(len(patterns))]
@@ -198,10 +199,13 @@ class DatasetSource(Source):
         return None if isinstance(p.graph, Var) else p.graph  # a variable: any graph
 
     def count(self, p: Pattern) -> int:
-        return self.data.match(self._triple(p), self._graph(p)).df.count()
+        return self.plan(p).df.count()
+
+    def plan(self, p: Pattern) -> Plan:
+        return self.data.match(self._triple(p), self._graph(p))
 
     def fetch(self, p: Pattern) -> DataFrame:
-        plan = self.data.match(self._triple(p), self._graph(p))
+        plan = self.plan(p)
         plan = plan.with_kinds({v: TERM for v in plan.kinds})
         cell = lambda x: col_of(x) if isinstance(x, Var) else F.lit(x)
         notes = [F.lit(v).cast("long" if n == "bytes" else "boolean" if n == "incomplete" else "int").alias(n) for n, v in zip(NOTES, _PLAIN, strict=True)]

@@ -2,11 +2,13 @@
 
 import pytest
 
+from tessera.plans import harvest as harvesting
 from tessera.plans.compile import evaluate
 from tessera.plans.demand import decompose, includes, narrowing, order, with_path_support
 from tessera.plans.harvest import answer, harvest, run_dataset, stats_table, strict_triples
 from tessera.plans.parser import parse
-from tessera.sources.dataset import QuadDataset
+from tessera.sources.dataset import LiftedDataset, QuadDataset
+from tessera.sources.lift import lifted
 from tessera.sources.provenance import evaluate_published, nanopublication, publish, to_rows
 from tessera.sources.remote import Config, DatasetSource, open_source
 from tests.railway import NS, PRE, QUERIES, by_vocabulary, quads
@@ -161,3 +163,71 @@ def test_dump_that_cannot_be_read_is_declared(spark, tmp_path):
         got, found = answer(spark, q, [{"type": "dump", "path": spec.removeprefix("dump:")}], Config.of(retries=0, timeout=2.0))
         assert got.count() == 0 and found[0].stats.declared_incomplete, spec
         assert found[0].stats.decisions() in (["unreachable"], ["empty"]) and found[0].stats.errors + found[0].stats.triples_dropped >= 1
+
+
+# --- own tables: fragments are plans ---
+
+TABLES = {
+    "region": ("r_regionkey int, r_name string", [(0, "A"), (1, "B")]),
+    "nation": ("n_nationkey int, n_name string, n_regionkey int", [(k, f"n{k}", k % 2) for k in range(5)]),
+    "customer": ("c_custkey bigint, c_nationkey int, c_acctbal double", [(k, k % 4 if k % 6 else None, k * 0.5) for k in range(20)]),
+    "supplier": ("s_suppkey int, s_nationkey int, s_acctbal double", [(k, k % 3, 1.0) for k in range(4)]),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string", [(k, k % 23, "OPF"[k % 3]) for k in range(40)]),
+    "lineitem": ("l_orderkey bigint, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double", [(k % 45, k % 7, k % 5, k % 3, float(k % 9)) for k in range(90)]),
+}
+EX = "PREFIX ex: <http://ex.org/>\nPREFIX nation: <http://ex.org/nation/>\nPREFIX region: <http://ex.org/region/>\n"
+FEDERATED = 'SELECT ?o ?r ?q { ?n ex:inRegion ?r . ?c ex:inNation ?n . ?o ex:placedBy ?c ; ex:o_orderstatus "P" . ?l ex:ofOrder ?o ; ex:l_quantity ?q }'
+#: Two repositories; links that lead back and forth between them; tables that both have.
+APART = ["region", "nation", "customer"], ["orders", "lineitem", "supplier"]
+ACROSS = ["region", "customer", "lineitem"], ["nation", "orders"]
+SHARED = ["region", "nation", "customer"], ["nation", "customer", "orders", "lineitem"]
+#: Queries by name, each over one way of dividing the tables.
+OWN = {
+    "federated": (SHARED, FEDERATED),
+    "narrowed": (APART, "SELECT * { ?n ex:inRegion region:1 . ?c ex:inNation ?n ; ex:c_acctbal ?b }"),
+    "reused": (APART, "SELECT * { ?c ex:inNation ?n . ?x ex:inNation nation:1 . ?y ex:inNation ?n }"),
+    "any_predicate": (SHARED, "SELECT * { ?c ex:inNation nation:1 ; ?p ?v }"),
+    "path_narrows": (APART, "SELECT * { ?c (ex:inNation|ex:inRegion)+ region:1 ; ex:c_acctbal ?b }"),
+    "optional": (ACROSS, "SELECT * { ?o ex:o_orderstatus \"F\" ; ex:placedBy ?c OPTIONAL { ?c ex:inNation ?n OPTIONAL { ?n ex:inRegion ?r } } }"),
+    "minus": (ACROSS, "SELECT * { ?c ex:c_acctbal ?b MINUS { ?o ex:placedBy ?c ; ex:o_orderstatus \"P\" } }"),
+    "graph": (SHARED, "SELECT ?n ?r ?c { GRAPH ?g { ?n ex:inRegion ?r } ?c ex:inNation ?n }"),
+}
+
+
+@pytest.fixture(scope="module")
+def own(spark):
+    return {t: lifted(spark.createDataFrame(r, schema).coalesce(1).cache(), t) for t, (schema, r) in TABLES.items()}
+
+
+def sources(own, sides, as_quads):
+    for k, tables in enumerate(sides):
+        data = LiftedDataset(own[t] for t in tables)
+        yield DatasetSource(QuadDataset(data.quads(), unique=True) if as_quads else data, f"http://source/{k}", Config.of(page_size=5))
+
+
+def decided(h):
+    s = h.stats
+    return [(p.index, p.estimate, p.decision, p.triples, p.bindings, p.reused_from, p.incomplete) for p in s.patterns], s.triples_received, s.triples_stored, s.declared_incomplete
+
+
+@pytest.mark.parametrize("name", OWN)
+def test_own_tables_give_what_their_quads_give(spark, own, name):
+    sides, q = OWN[name]
+    got, found = answer(spark, EX + q, sources(own, sides, False))
+    want, quads_found = answer(spark, EX + q, sources(own, sides, True))
+    assert rows(got) == rows(want)
+    for a, b in zip(found, quads_found, strict=True):
+        assert decided(a) == decided(b)
+        assert rows(a.triples) == rows(b.triples)
+
+
+def test_own_tables_are_read_and_not_copied(spark, own, monkeypatch):
+    """Whole fragments are neither written nor turned to terms, so no line item's id is made."""
+    labels = []
+    keep = harvesting.written
+    monkeypatch.setattr(harvesting, "written", lambda df, label: labels.append(label) or keep(df, label))
+    got, found = answer(spark, EX + FEDERATED, sources(own, APART, False))
+    assert {d for h in found for d in h.stats.decisions()} == {"full", "empty"}
+    assert set(labels) <= {"keys"}
+    assert "sha2" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() > 0
